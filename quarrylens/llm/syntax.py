@@ -382,6 +382,8 @@ def brace_check(lang: str, text: str) -> None:
                 raise Broken("statement without an end", line)
             if value == "@" and lang in ("javascript",) and pv not in STARTS | {")"} and pk == "op":
                 raise Broken("operator without an operand", line)
+            if value == "%" and pv == "<" or value == ">" and pv == "%":
+                raise Broken("operator without an operand", line)
             if lang == "go" and value == "@":
                 raise Broken("character outside any token", line)
             if pv == "@" and kind == "op" and lang in ("javascript", "java"):
