@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
@@ -44,6 +47,20 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrylens_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quarrylens-code-")) / "quarrylens.zip"  # the driver serves it from here
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(here.rglob("*.py")):
+            archive.write(path, path.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._quarrylens_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
