@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quarrylens.session import cut
 
 #: Projected dimensions, probability that a neighbour lies within the last radius, candidates the first radius aims at.
-PROJECTED, SURE, AIMED = 32, 0.99, 32
+PROJECTED, SURE, AIMED = 32, 0.998, 32
 #: Rows of a block at most and at least, sample rows that fit the kd-tree and the first radius.
 BLOCK_MOST, BLOCK_LEAST, SAMPLE = 32768, 1024, 4096
 #: Rows of a tile inside a block, share of near points from which a tile is verified as a whole, pairs verified at once.
