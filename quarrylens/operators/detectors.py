@@ -134,14 +134,18 @@ def echoes(comments: DataFrame, comment_vector: str, context_vector: str, least:
     return rows.withColumn("severity", tier(F.col("similarity"), (0.95, "critical"), (0.90, "high"), (0.85, "medium")))
 
 
-def word_vector(text: Column, dims: int = 64) -> Column:
-    """A unit vector of hashed words, what stands in for an encoder model that isn't there."""
+def word_vectors(texts: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
+    """``(id, vector)``: unit vectors of hashed words, what stands in for an encoder model that isn't there.
+
+    Texts without words don't come out. Words are hashed once, counted with map-side sums and gathered by id.
+    """
     from quarrylens.functions.text import words
 
-    slots = F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
+    word = texts.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("w"))
+    slot = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % dims
+    counts = word.groupBy("id", slot.cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    out = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
+    return out.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).alias("vector"))
 
 
 def distribution(rows: DataFrame, column: str = "severity") -> DataFrame:

@@ -9,9 +9,8 @@ from quarrylens.functions.text import glob_regex, renamed_path
 
 
 def once(commits: DataFrame) -> DataFrame:
-    """One row per commit and file; repeated rows and later arrivals don't count again."""
-    rank = F.row_number().over(Window.partitionBy("commit_hash", "file").orderBy("ingested_at"))
-    return commits.withColumn("n", rank).where("n = 1").drop("n")
+    """Each change once: rows that differ only in their arrival count once, a file listed twice with other counts twice."""
+    return commits.select("commit_hash", "repo", "file", "added", "removed", "author", "ts").distinct()
 
 
 def path_filter(path: Column, wanted: str) -> Column:

@@ -27,6 +27,10 @@ def doc_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("doc").agg(F.sum("tf").alias("terms"))
 
 
+def _uses(term: str) -> Column:
+    return F.size(F.filter("terms", lambda x: x == term))
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], repeats: bool = False) -> DataFrame:
     """``(doc, score)`` of the documents that hold a query term. ``repeats``: a repeated query term counts again.
 
@@ -36,7 +40,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str], repeats:
     rows = docs.select(F.col(id_col).alias("doc"), terms.alias("terms")).where(F.size("terms") >= 0)
     totals = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("terms").cast("double")).alias("avg_len"))
     wanted = list(query) if repeats else list(dict.fromkeys(query))
-    hits = rows.select("doc", F.size("terms").alias("len"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("terms", lambda x, t=t: x == t)).alias("tf")) for t in wanted])).alias("h"))
+    hits = rows.select("doc", F.size("terms").alias("len"), F.explode(F.array(*[F.struct(F.lit(t).alias("term"), _uses(t).alias("tf")) for t in wanted])).alias("h"))
     hits = hits.select("doc", "len", "h.*").where("tf > 0")
     df = hits.groupBy("term").agg(F.countDistinct("doc").alias("df"))  # one row per query term
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(totals))

@@ -31,10 +31,10 @@ def as_xml(rows: DataFrame, tag: str, attributes: list[str], body: str | None =
 
 def folder_counts(rows: DataFrame, file_col: str) -> DataFrame:
     """``(folder, depth, files)``: how many different files lie below each folder, for a directory tree."""
-    parts = F.split(F.col(file_col), "/")
-    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    out = rows.where(F.size(parts) > 1).select(F.col(file_col).alias("file"), F.explode(folders).alias("folder"))
-    return out.groupBy("folder").agg((F.size(F.split(F.first("folder"), "/"))).alias("depth"), F.countDistinct("file").alias("files"))
+    named = rows.select(F.col(file_col).alias("file"), F.split(F.col(file_col), "/").alias("parts")).where(F.size("parts") > 1)
+    folders = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/"))
+    out = named.select("file", F.explode(folders).alias("folder")).groupBy("folder").agg(F.countDistinct("file").alias("files"))
+    return out.select("folder", F.size(F.split("folder", "/")).alias("depth"), "files")
 
 
 def flagged(files: DataFrame, flags: DataFrame, mark: str = "#") -> DataFrame:

@@ -30,7 +30,8 @@ def debounced(events: DataFrame, gap_ms: int = 500, key: str | None = None) -> D
     """
     by = [F.col(key)] if key else [F.lit(0)]
     order = Window.partitionBy(*by).orderBy("ts", "path")
-    silence = F.unix_millis("ts") - F.lag(F.unix_millis("ts")).over(order) >= gap_ms
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    silence = at - F.lag(at).over(order) >= gap_ms
     rows = events.withColumn("batch", F.sum(F.coalesce(silence, F.lit(True)).cast("int")).over(order))
     return coalesced(rows, [key, "batch"] if key else ["batch"])
 
