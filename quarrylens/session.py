@@ -42,9 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Materialise ``frame`` in the shared checkpoint folder, so that lost executors don't restart a loop."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Materialise ``frame`` in the shared checkpoint folder, so that lost executors don't restart a loop.
+
+    The result's plan starts anew: a checkpoint alone keeps the constraints inferred so far, which multiply from step to
+    step of a loop until the driver's memory is full.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = frame.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def ship(spark: SparkSession) -> None:
