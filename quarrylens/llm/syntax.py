@@ -72,7 +72,7 @@ IDENT = r"[^\W\d]\w*|\$[\w$]*|[^\W\d][\w$]*\$[\w$]*"
 JS_IDENT = r"#?[^\W\d#][\w$]*|#?\$[\w$]*"
 
 LEX = {
-    lang: re.compile(rf"(?P<nl>\n)|(?P<ws>[ \t\r\f\v﻿]+)|(?P<com>//[^\n]*|/\*.*?\*/)|(?P<open>/\*)|(?P<num>{NUMBER})|(?P<id>{JS_IDENT if lang == 'javascript' else IDENT})|(?P<op>{OPERATOR})", re.S)
+    lang: re.compile(rf"[ \t\r\f\v﻿]*(?:(?P<nl>\n[ \t]*)|(?P<com>//[^\n]*|/\*.*?\*/)|(?P<open>/\*)|(?P<num>{NUMBER})|(?P<id>{JS_IDENT if lang == 'javascript' else IDENT})|(?P<op>{OPERATOR})|(?P<end>$)|(?P<odd>(?s:.)))", re.S)
     for lang in ("javascript", "java", "go", "c")
 }
 STRING_END = {q: re.compile(rf"(?:[^{q}\\\n]|\\.|\\\n)*{q}", re.S) for q in "\"'"}
@@ -108,11 +108,15 @@ def brace_tokens(lang: str, text: str) -> Iterator[Token]:
                 at += 1
         raise Broken("unterminated template", line)
 
+    match, c_like, quotes = lex.match, lang == "c", "\"'`" if lang in ("javascript", "go") else "\"'"
     while pos < size:
-        if first and text[pos] in "<>=|" and CONFLICT.match(text, pos, text.find("\n", pos) if text.find("\n", pos) >= 0 else size):
-            raise Broken("merge-conflict marker", line)
         ch = text[pos]
-        if ch == "#" and first and lang == "c":
+        if first and ch in "<>=|" and (not pos or text[pos - 1] == "\n") and CONFLICT.match(text, pos, text.find("\n", pos) if text.find("\n", pos) >= 0 else size):
+            raise Broken("merge-conflict marker", line)
+        if ch == " " or ch == "\t":
+            pos += 1
+            continue
+        if ch == "#" and first and c_like:
             m = DIRECTIVE.match(text, pos)
             assert m
             name = m[1] or ""
@@ -127,7 +131,7 @@ def brace_tokens(lang: str, text: str) -> Iterator[Token]:
             line += m[0].count("\n")
             pos = m.end()
             continue
-        if ch in "\"'" or ch == "`" and lang in ("javascript", "go"):
+        if ch in quotes:
             began = line
             if ch == "`":
                 if lang == "go":
@@ -162,21 +166,25 @@ def brace_tokens(lang: str, text: str) -> Iterator[Token]:
             yield ("str", ch, began, first)
             pos, first, prev = end, False, "str"
             continue
-        m = lex.match(text, pos)
-        if not m:
-            raise Broken("character outside any token", line)
-        kind, value = m.lastgroup, m[0]
+        m = match(text, pos)
+        kind = m.lastgroup
+        value = m[kind]
         if kind == "nl":
             line, first = line + 1, True
-        elif kind == "ws":
-            pass
+        elif kind == "end":
+            break
+        elif kind == "odd":
+            if value in quotes or value == "#":
+                pos = m.end() - 1
+                continue
+            raise Broken("character outside any token", line)
         elif kind == "com":
             line += value.count("\n")
         elif kind == "open":
             raise Broken("unterminated comment", line)
         else:
             if kind == "op" and value[0] == "/" and lang == "javascript" and prev not in ("operand", "str", ")", "]", "}"):
-                r = JS_REGEX.match(text, pos)
+                r = JS_REGEX.match(text, m.start("op"))
                 if not r:
                     raise Broken("unterminated regular expression", line)
                 yield ("str", "/", line, first)
@@ -430,11 +438,12 @@ PY_FOLLOWS = {
     "finally": {"try", "except", "else"},
 }
 PY_LEX = re.compile(
-    r"(?P<nl>\r\n|\n|\r)|(?P<ws>[ \t\f]+|\\\r?\n)|(?P<com>#[^\r\n]*)"
+    r"(?:[ \t\f]|\\\r?\n)*(?:(?P<nl>\r\n|\n|\r)|(?P<com>#[^\r\n]*)"
     r"|(?P<str>(?i:rb|br|tr|rt|fr|rf|[bruft])?(?:\"\"\"|'''|\"|'))"
     r"|(?P<num>0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[jJ]?)"
-    r"|(?P<id>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|<<|>>|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])"
+    r"|(?P<id>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|<<|>>|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<end>$))"
 )
+PY_INDENT = re.compile(r"[ \t\f]*")
 PY_CLOSE = {
     '"""': re.compile(r'(?:[^"\\]|\\.|"(?!""))*"""', re.S), "'''": re.compile(r"(?:[^'\\]|\\.|'(?!''))*'''", re.S),
     '"': re.compile(r'(?:[^"\\\r\n]|\\\r\n|\\.)*"', re.S), "'": re.compile(r"(?:[^'\\\r\n]|\\\r\n|\\.)*'", re.S),
@@ -452,27 +461,30 @@ def python_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
     indent, fresh = "", True
     while pos < size:
         if fresh:
-            m = re.compile(r"[ \t\f]*").match(text, pos)
-            assert m
+            if text[pos] in "<>=|":
+                end = text.find("\n", pos)
+                if CONFLICT.match(text, pos, size if end < 0 else end):
+                    raise Broken("merge-conflict marker", line)
             if not stack:
-                indent = m[0]
-            end = text.find("\n", pos)
-            if CONFLICT.match(text, pos, size if end < 0 else end):
-                raise Broken("merge-conflict marker", line)
-            pos, fresh = m.end(), False
-            continue
+                m = PY_INDENT.match(text, pos)
+                indent, pos = m[0], m.end()
+            fresh = False
         m = PY_LEX.match(text, pos)
         if not m:
             raise Broken("character outside any token", line)
-        kind, value = m.lastgroup, m[0]
+        kind = m.lastgroup
+        value = m[kind]
+        whole = m[0]
+        if len(whole) != len(value) and "\\" in whole:
+            line += text.count("\n", pos, m.start(kind))  # continued lines
         pos = m.end()
         if kind == "nl":
             line, fresh = line + 1, True
             if not stack and tokens:
                 yield indent, tokens
                 tokens = []
-        elif kind == "ws":
-            line += value.count("\n")
+        elif kind == "end":
+            break
         elif kind == "str":
             quote = value.lstrip("rRbBuUfFtT")
             c = PY_CLOSE[quote].match(text, pos)
