@@ -68,14 +68,14 @@ OPERATORS = sorted(
 )
 OPERATOR = "|".join(map(re.escape, OPERATORS))
 NUMBER = r"0[xX][0-9a-fA-F_]+[uUlLn]*|0[bBoO][0-7_]+[uUlLn]*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[fFdDlLuUni]*"
-IDENT = r"[^\W\d]\w*|\$[\w$]*|[^\W\d][\w$]*\$[\w$]*"
-JS_IDENT = r"#?[^\W\d#][\w$]*|#?\$[\w$]*"
+IDENT = r"[^\W\d][\w$]*+|\$[\w$]*+"
+JS_IDENT = r"#?[^\W\d#][\w$]*+|#?\$[\w$]*+"
 
 LEX = {
-    lang: re.compile(rf"[ \t\r\f\v﻿]*(?:(?P<nl>\n[ \t]*)|(?P<com>//[^\n]*|/\*.*?\*/)|(?P<open>/\*)|(?P<num>{NUMBER})|(?P<id>{JS_IDENT if lang == 'javascript' else IDENT})|(?P<op>{OPERATOR})|(?P<end>$)|(?P<odd>(?s:.)))", re.S)
+    lang: re.compile(rf"[ \t\r\f\v﻿]*(?:(?P<id>{JS_IDENT if lang == 'javascript' else IDENT})|(?P<nl>\n[ \t]*)|(?P<com>//[^\n]*|/\*.*?\*/)|(?P<open>/\*)|(?P<num>{NUMBER})|(?P<op>{OPERATOR})|(?P<end>$)|(?P<odd>(?s:.)))", re.S)
     for lang in ("javascript", "java", "go", "c")
 }
-STRING_END = {q: re.compile(rf"(?:[^{q}\\\n]|\\.|\\\n)*{q}", re.S) for q in "\"'"}
+STRING_END = {q: re.compile(rf"(?:[^{q}\\\n]++|\\.)*+{q}", re.S) for q in "\"'"}
 JS_REGEX = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
 JAVA_BLOCK = re.compile(r'"""[ \t\f]*\r?\n(?:[^"\\]|\\.|"(?!""))*"""', re.S)
 CHAR = re.compile(r"'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|x[0-9a-fA-F]+|U[0-9a-fA-F]{8}|[0-7]{1,3}|.))'")
@@ -168,7 +168,7 @@ def brace_tokens(lang: str, text: str) -> Iterator[Token]:
             continue
         m = match(text, pos)
         kind = m.lastgroup
-        value = m[kind]
+        value = m[m.lastindex]
         if kind == "nl":
             line, first = line + 1, True
         elif kind == "end":
@@ -228,6 +228,11 @@ CLOSE_AFTER_OPERATOR = {
 }
 STOPS = {")", "]", "}", ";", ",", "$}"}
 STARTS = {"", ";", "{", "}"}
+OPENED, STARTS_OR_CLOSED = STARTS | {"(", "[", ",", "${"}, STARTS | {")"}
+ENDED = {lang: STARTS | STOPS | {"(", "[", "{", "${", ":"} | more for lang, more in CLOSE_AFTER_OPERATOR.items()}
+OPERANDS = {"id", "num", "str"}
+NOT_BINARY = {*PAIRS, "(", "[", "{", "${", ";", ",", "@", "#"} | PREFIX
+CALLED_WORDS = VALUE_WORDS | {"get", "set", "of", "static", "async", "import"}
 #: What a declaration at the outermost level can begin with.
 TOP = {
     "java": {"package", "import", "class", "interface", "enum", "record", "public", "private", "protected", "abstract", "final", "static", "sealed", "non", "strictfp", "@", ";", "module", "open"},
@@ -237,6 +242,8 @@ TOP = {
 
 def brace_check(lang: str, text: str) -> None:
     """Raise ``Broken`` where the token sequence cannot belong to the language."""
+    js, java, go, c = lang == "javascript", lang == "java", lang == "go", lang == "c"
+    top, ended = TOP.get(lang), ENDED[lang]
     stack: list[tuple[str, int, str]] = []  # opener, line, what it belongs to
     pk, pv, pline = "op", "", 1  # previous token's class, text, line
     head = ""  # what the parenthesis just closed belonged to
@@ -244,69 +251,69 @@ def brace_check(lang: str, text: str) -> None:
     shouted = False  # all of them in capitals, as macros are
     starts = True  # a new declaration at the outermost level begins
     classy = False  # a class, interface, enum or struct header is being read
-    packaged = lang != "go"
+    packaged = not go
     tries: list[int] = []  # depth of each try whose handler is still to come
     awaiting, prior, resources = "", "", -1  # the token before the previous one; where a try with resources began
     for kind, value, line, first in brace_tokens(lang, text):
-        operand = kind in ("id", "num", "str") or kind == "kw" and value in VALUE_WORDS
-        after = pk in ("id", "num", "str") and pv != "${" or pk == "kw" and pv in VALUE_WORDS
+        operand = kind in OPERANDS or kind == "kw" and value in VALUE_WORDS
+        after = pk in OPERANDS and pv != "${" or pk == "kw" and pv in VALUE_WORDS
         depth = len(stack)
         if awaiting and (kind, value) not in (("kw", "catch"), ("kw", "finally")):
             raise Broken("try without a handler", line)
         awaiting = ""
-        if depth == 0 and starts and lang in TOP and value not in TOP[lang]:
+        if depth == 0 and starts and top and value not in top:
             raise Broken("no declaration begins like this", line)
         if not packaged:
             if value != "package":
                 raise Broken("no package clause", line)
             packaged = True
         starts = False
-        if lang == "go" and pk == "id" and depth == 0 and value == "." and run == -1:
+        if go and pk == "id" and depth == 0 and value == "." and run == -1:
             raise Broken("qualified package name", line)
 
         if operand:
             if kind == "id" and pk == "id" and (run > 0) and not (first and lang in ("javascript", "go")):
                 run += 1
                 shouted = shouted and (value.isupper() or len(value) < 2)
-                if lang == "javascript" and value not in JS_AFTER and pv not in JS_BEFORE or lang != "javascript" and run > 2 and not shouted and not (lang == "go" and depth):
+                if js and value not in JS_AFTER and pv not in JS_BEFORE or not js and run > 2 and not shouted and not (go and depth):
                     raise Broken("operands without an operator", line)
-                if lang == "go" and depth == 0 and pv not in ("type", "func"):
+                if go and depth == 0 and pv not in ("type", "func"):
                     raise Broken("operands without an operator", line)
             elif after and not (first and lang in ("javascript", "go")):
-                joined = pk == "str" and kind == "str" and (lang == "c" or pv == "`" == value)
-                tagged = lang == "javascript" and kind == "str" and (value == "`" or pv in ("from", "static", "get", "set"))
-                macro = lang == "c" and (pk == "id" or kind == "id") and (pk == "str" or kind == "str")
-                if not (joined or tagged or macro or lang == "go" and kind == "str" and value == "`"and depth) and not (lang == "go" and kind == "str" and pk == "id" and depth):
+                joined = pk == "str" and kind == "str" and (c or pv == "`" == value)
+                tagged = js and kind == "str" and (value == "`" or pv in ("from", "static", "get", "set"))
+                macro = c and (pk == "id" or kind == "id") and (pk == "str" or kind == "str")
+                if not (joined or tagged or macro or go and kind == "str" and value == "`"and depth) and not (go and kind == "str" and pk == "id" and depth):
                     raise Broken("operands without an operator", line)
                 run = 1 if kind == "id" else 0
             elif pk == "op" and pv in (")", "]") and not (first and lang in ("javascript", "go")):
-                if head == "call" and pv == ")" and kind in ("num", "str") and lang != "c":
+                if head == "call" and pv == ")" and kind in ("num", "str") and not c:
                     raise Broken("operands without an operator", line)
                 if head == "call" and pv == ")" and kind == "id" and lang in ("javascript", "java"):
                     raise Broken("operands without an operator", line)
-                if head == "call" and pv == ")" and kind == "id" and lang == "c" and first and depth and not value.startswith("__"):
+                if head == "call" and pv == ")" and kind == "id" and c and first and depth and not value.startswith("__"):
                     raise Broken("missing semicolon", line)
-                if pv == "]" and lang == "javascript":
+                if pv == "]" and js:
                     raise Broken("operands without an operator", line)
                 run = 1 if kind == "id" else 0
             else:
                 run = 1 if kind == "id" else 0
             if run == 1:
                 shouted = value.isupper()
-            if lang == "go" and depth == 0 and pk == "kw" and pv == "package":
+            if go and depth == 0 and pk == "kw" and pv == "package":
                 run = -1
         elif kind == "kw":
             run = 0
-            if value in ("import", "package", "export") and depth and not (lang == "javascript" and value == "import" and pv not in STARTS):
-                if lang == "javascript" and value == "import":
+            if value in ("import", "package", "export") and depth and not (js and value == "import" and pv not in STARTS):
+                if js and value == "import":
                     pass
-                elif pv != "." and not (lang == "c"):
+                elif pv != "." and not (c):
                     raise Broken("declaration inside a block", line)
             if value in ("class", "interface", "enum", "record", "struct", "union") and pv != ".":
                 classy = True
-            soft = lang == "javascript" and value in JS_SOFT or pv == "." or lang == "java" and value in ("record", "sealed", "permits", "yield", "var", "default", "throws")
-            if after and not first and value not in INFIX_WORDS and not soft and lang in ("javascript", "java") and pk != "kw" and not (pk == "id" and pv in JS_SOFT) and not (lang == "java" and pk == "id" and classy):
-                if not (lang == "java" and pk == "id"):
+            soft = js and value in JS_SOFT or pv == "." or java and value in ("record", "sealed", "permits", "yield", "var", "default", "throws")
+            if after and not first and value not in INFIX_WORDS and not soft and lang in ("javascript", "java") and pk != "kw" and not (pk == "id" and pv in JS_SOFT) and not (java and pk == "id" and classy):
+                if not (java and pk == "id"):
                     raise Broken("statement without an end", line)
             if value == "else" and pv not in (";", "}") and lang in ("java", "c", "go"):
                 raise Broken("else without if", line)
@@ -321,15 +328,15 @@ def brace_check(lang: str, text: str) -> None:
                         owner = "control"
                     elif pk == "kw" and pv in ("function", "func"):
                         owner = "function"
-                    elif pk in ("id",) or pv in (")", "]") or pk == "kw" and pv in VALUE_WORDS | {"get", "set", "of", "static", "async", "import"} or pk == "str" and stack and stack[-1][2] in ("class", "object"):
+                    elif pk in ("id",) or pv in (")", "]") or pk == "kw" and pv in CALLED_WORDS or pk == "str" and stack and stack[-1][2] in ("class", "object"):
                         owner = "call"
                     if pk in ("num", "str") and owner != "call":
                         raise Broken("operands without an operator", line)
                 elif value == "{":
-                    if pk in ("num", "str") and not (lang == "go" or lang == "c" and pk == "str" or lang == "java" and pk == "num") and not (lang == "javascript" and classy):
-                        if not (first and lang == "javascript"):
+                    if pk in ("num", "str") and not (go or c and pk == "str" or java and pk == "num") and not (js and classy):
+                        if not (first and js):
                             raise Broken("operands without an operator", line)
-                    if lang == "javascript":
+                    if js:
                         if classy:
                             owner = "class"
                         elif pk == "op" and pv in ("=", "(", ",", "[", "?", ":", "=>", "&&", "||", "??", "==", "===", "...", "${", "+") and pv != "=>" and not (pv == ":" and stack and stack[-1][2] == "switch"):
@@ -344,7 +351,7 @@ def brace_check(lang: str, text: str) -> None:
                             raise Broken("block without a header", line)
                         if pk == "id" and not classy and not first and pv not in JS_SOFT:
                             raise Broken("operands without an operator", line)
-                    elif lang == "c":
+                    elif c:
                         if pk == "kw" and pv in ("const", "static", "int", "char", "return"):
                             raise Broken("operands without an operator", line)
                         owner = "class" if classy else "block"
@@ -353,9 +360,9 @@ def brace_check(lang: str, text: str) -> None:
                     classy = False
                 if value == "(" and owner == "control" and pv == "switch":
                     owner = "control-switch"
-                if value == "(" and lang == "javascript" and prior in ("function", "*") and pk in ("id", "kw"):
+                if value == "(" and js and prior in ("function", "*") and pk in ("id", "kw"):
                     owner = "function"
-                if value == "(" and pk == "id" and lang == "java" and prior == "@":
+                if value == "(" and pk == "id" and java and prior == "@":
                     owner = "annotation"
                 stack.append((value, line, owner))
             elif value in PAIRS:
@@ -365,9 +372,9 @@ def brace_check(lang: str, text: str) -> None:
                 if opener != PAIRS[value]:
                     raise Broken("mismatched delimiters", line)
                 if value == "}" and tries and tries[-1] == len(stack):
-                    awaiting = "handler" if lang == "javascript" or head != "resources" else ""
+                    awaiting = "handler" if js or head != "resources" else ""
                     tries.pop()
-                    if lang == "java" and resources == len(stack) + 1000:
+                    if java and resources == len(stack) + 1000:
                         awaiting = ""
                 if value == "}" and len(stack) == 0:
                     starts = True
@@ -375,24 +382,24 @@ def brace_check(lang: str, text: str) -> None:
                 starts, classy = True, False
             elif value == ";":
                 classy = False
-            binary = kind == "op" and value not in PAIRS and value not in ("(", "[", "{", "${", ";", ",", "@", "#") and value not in PREFIX
-            if binary and value not in (":", ".", "?.", "::") and pk == "op" and pv in STARTS | {"(", "[", ",", "${"}:
-                plain = lang == "javascript" and pv == "}" and head != "block" or value == "<" and lang == "java" and pv in STARTS or value == "?" and lang == "java"
-                if not plain and not (lang == "java" and value in ("->", ">")) and not (lang == "go" and value == ":"):
+            binary = value not in NOT_BINARY
+            if binary and value not in (":", ".", "?.", "::") and pk == "op" and pv in OPENED:
+                plain = js and pv == "}" and head != "block" or value == "<" and java and pv in STARTS or value == "?" and java
+                if not plain and not (java and value in ("->", ">")) and not (go and value == ":"):
                     raise Broken("operator without an operand", line)
             if binary and pk == "op" and pv and pv not in STARTS and pv not in STOPS and pv not in ("(", "[", "{", "${", "++", "--", ":") and value not in (":", "::", "?"):
-                loose = lang == "java" and (pv in (">", ">>", ">>>", "?", "<", "...") or value in (">", ">>", "->")) or lang == "c" and pv == "*" or lang == "go" and (pv in ("<-", "...", "*") or value in ("<-",)) or pv == "?" and value == "."
+                loose = java and (pv in (">", ">>", ">>>", "?", "<", "...") or value in (">", ">>", "->")) or c and pv == "*" or go and (pv in ("<-", "...", "*") or value in ("<-",)) or pv == "?" and value == "."
                 if not loose:
                     raise Broken("operator without an operand", line)
-            if value in STOPS and pk == "op" and pv and pv not in STARTS | STOPS | {"(", "[", "{", "${", ":"} | CLOSE_AFTER_OPERATOR[lang]:
+            if value in STOPS and pk == "op" and pv and pv not in ended:
                 raise Broken("operator without an operand", line)
             if value == ";" and pv == "," or value == ";" and pk == "op" and pv == "(" and (not stack or stack[-1][2] != "control"):
                 raise Broken("statement without an end", line)
-            if value == "@" and lang in ("javascript",) and pv not in STARTS | {")"} and pk == "op":
+            if value == "@" and lang in ("javascript",) and pv not in STARTS_OR_CLOSED and pk == "op":
                 raise Broken("operator without an operand", line)
             if value == "%" and pv == "<" or value == ">" and pv == "%":
                 raise Broken("operator without an operand", line)
-            if lang == "go" and value == "@":
+            if go and value == "@":
                 raise Broken("character outside any token", line)
             if pv == "@" and kind == "op" and lang in ("javascript", "java"):
                 raise Broken("operator without an operand", line)
@@ -400,13 +407,13 @@ def brace_check(lang: str, text: str) -> None:
             raise Broken("operator without an operand", line)
         if kind == "kw" and value == "try":
             resources = -1
-        if pk == "kw" and pv == "try" and value == "(" and lang == "java":
+        if pk == "kw" and pv == "try" and value == "(" and java:
             resources = depth + 1000 + 0
             tries = tries[:-1]
         prior, pk, pv, pline = pv, kind, value, line
-        if lang == "go" and first and depth == 0 and kind == "kw" and value in TOP["go"]:
+        if go and first and depth == 0 and kind == "kw" and value in TOP["go"]:
             classy = classy and value != "func"
-        if lang == "go" and depth == 0 and kind == "op" and value == "}":
+        if go and depth == 0 and kind == "op" and value == "}":
             starts = True
     if stack:
         raise Broken("premature end", pline)
@@ -414,7 +421,7 @@ def brace_check(lang: str, text: str) -> None:
         raise Broken("try without a handler", pline)
     if not packaged:
         raise Broken("no package clause", 1)
-    if pk == "op" and pv not in ("", ";", "}", ")", "]", "$}", "++", "--") or pk == "kw" and pv not in VALUE_WORDS | {"return", "break", "continue", "fallthrough", "debugger"} and not (lang == "go"):
+    if pk == "op" and pv not in ("", ";", "}", ")", "]", "$}", "++", "--") or pk == "kw" and pv not in VALUE_WORDS | {"return", "break", "continue", "fallthrough", "debugger"} and not (go):
         raise Broken("premature end", pline)
     if lang in ("java", "c") and pk != "op" and pk:
         raise Broken("premature end", pline)
@@ -438,15 +445,15 @@ PY_FOLLOWS = {
     "finally": {"try", "except", "else"},
 }
 PY_LEX = re.compile(
-    r"(?:[ \t\f]|\\\r?\n)*(?:(?P<nl>\r\n|\n|\r)|(?P<com>#[^\r\n]*)"
+    r"(?:[ \t\f]|\\\r?\n)*(?:(?P<id>[^\W\d]\w*+(?![\"']))|(?P<nl>\r\n|\n|\r)|(?P<com>#[^\r\n]*)"
     r"|(?P<str>(?i:rb|br|tr|rt|fr|rf|[bruft])?(?:\"\"\"|'''|\"|'))"
     r"|(?P<num>0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[jJ]?)"
-    r"|(?P<id>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|<<|>>|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<end>$))"
+    r"|(?P<word>[^\W\d]\w*)|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|<<|>>|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:.;=])|(?P<end>$))"
 )
 PY_INDENT = re.compile(r"[ \t\f]*")
 PY_CLOSE = {
-    '"""': re.compile(r'(?:[^"\\]|\\.|"(?!""))*"""', re.S), "'''": re.compile(r"(?:[^'\\]|\\.|'(?!''))*'''", re.S),
-    '"': re.compile(r'(?:[^"\\\r\n]|\\\r\n|\\.)*"', re.S), "'": re.compile(r"(?:[^'\\\r\n]|\\\r\n|\\.)*'", re.S),
+    '"""': re.compile(r'(?:[^"\\]++|\\.|"(?!""))*+"""', re.S), "'''": re.compile(r"(?:[^'\\]++|\\.|'(?!''))*+'''", re.S),
+    '"': re.compile(r'(?:[^"\\\r\n]++|\\\r\n|\\.)*+"', re.S), "'": re.compile(r"(?:[^'\\\r\n]++|\\\r\n|\\.)*+'", re.S),
 }
 PY_PREFIX = {"+", "-", "~", "*", "**", "@", "...", "not", "lambda", "await", "yield"}
 
@@ -473,7 +480,9 @@ def python_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
         if not m:
             raise Broken("character outside any token", line)
         kind = m.lastgroup
-        value = m[kind]
+        value = m[m.lastindex]
+        if kind == "word":
+            kind = "id"
         whole = m[0]
         if len(whole) != len(value) and "\\" in whole:
             line += text.count("\n", pos, m.start(kind))  # continued lines
@@ -508,39 +517,38 @@ def python_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
         yield indent, tokens
 
 
+PY_ENDS = {")", "]", "}", ",", ";", ":", "=", ":=", "**=", "//=", ">>=", "<<=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "@="}
+PY_OPEN = {"(", "[", "{", ",", ":", ";", "=", "lambda", "else", "try", "finally", "except", "return", "yield", "pass", "break", "continue", "raise", "import", "*", "/", "...", "print"}
+PY_CLOSED = {")", "]", "}", "..."}
+PY_EMPTY = {"(", "[", "{", ",", ";", "=", "return"}
+PY_ASSIGNS = {"=", "+=", "-=", "*=", "/=", ":="}
+
+
 def python_operands(tokens: list[Token]) -> None:
     """Operands and operators must alternate within one logical line."""
     pk, pv = "op", ";"
-    brackets: list[str] = []
     for kind, value, line, _ in [*tokens, ("op", ";", tokens[-1][2], False)]:
-        after = pk in ("id", "num", "str") or pk == "kw" and pv in PY_VALUES or pv in (")", "]", "}", "...") and pk == "op"
-        if kind in ("id", "num", "str") or kind == "kw" and value in PY_VALUES:
+        after = pk in OPERANDS or pv in PY_CLOSED and pk == "op" or pk == "kw" and pv in PY_VALUES
+        if kind in OPERANDS:
             if after and not (pk == "str" and kind == "str"):
                 raise Broken("operands without an operator", line)
         elif kind == "kw":
-            if after and value not in PY_INFIX:
-                raise Broken("operands without an operator", line)
-            if not after and value in ("and", "or", "is", "in", "as") and pv != "not" and not (value == "in" and pv == "not"):
+            if value in PY_VALUES:
+                if after:
+                    raise Broken("operands without an operator", line)
+            elif after:
+                if value not in PY_INFIX:
+                    raise Broken("operands without an operator", line)
+            elif value in ("and", "or", "is", "in", "as") and pv != "not":
                 raise Broken("operator without an operand", line)
         elif value in "([{":
             if after and value == "{":
                 raise Broken("operands without an operator", line)
-            brackets.append(value)
-        else:
-            ends = value in (")", "]", "}", ",", ";", ":", "=", ":=") or value.endswith("=") and value not in ("==", "<=", ">=", "!=")
-            if value in PAIRS:
-                brackets.pop()
-            open_ok = pv in ("(", "[", "{", ",", ":", ";", "=", "lambda", "else", "try", "finally", "except", "return", "yield", "pass", "break", "continue", "raise", "import", "*", "/", "...", "print") or after
-            if ends and not open_ok:
-                raise Broken("operator without an operand", line)
-            if value in (",",) and pv in ("(", "[", "{", ",", ";", "=", "return"):
-                raise Broken("operator without an operand", line)
-            if value in (";", ")") and pk == "op" and pv in ("=", "+=", "-=", "*=", "/=", ":="):
-                raise Broken("operator without an operand", line)
-            if value == "=" and pv in (";", "(", ",", "[", "{"):
-                raise Broken("operator without an operand", line)
-            if not ends and not after and value not in PY_PREFIX and not (value == "." and pv in ("from", ".", "import", "...") or value == "/" and pv in ("(", ",") or value == "->" or value == "..."):
+        elif value in PY_ENDS:
+            if not after and (pv not in PY_OPEN or value == "," and pv in PY_EMPTY or value == "=" and pv in PY_EMPTY or pk == "op" and value in ";)" and pv in PY_ASSIGNS):
                 raise Broken("operator without an operand", line)
+        elif not after and value not in PY_PREFIX and not (value == "." and pv in ("from", ".", "import", "...") or value == "/" and pv in ("(", ",") or value == "->"):
+            raise Broken("operator without an operand", line)
         pk, pv = kind, value
 
 
