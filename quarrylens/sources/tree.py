@@ -194,12 +194,7 @@ def facts(files: DataFrame, file_col: str = "file", text_col: str = "content") -
             for file, language, text in zip(batch["file"], batch["language"], batch["text"]):
                 found = python_facts(file, text) if language == "python" else pattern_facts(language, text)
                 rows += [{"file": file, "language": language, **x} for x in found]
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("line", "last", "complexity"):
-                frame[c] = frame[c].astype("Int32")
-            for c in ("stub", "decorated"):
-                frame[c] = frame[c].astype("boolean")
-            yield frame
+            yield pd.DataFrame({c: pd.Series([x.get(c) for x in rows], dtype="object") for c in names})
 
     rows = files.select(F.col(file_col).alias("file"), language_of(F.col(file_col)).alias("language"), F.col(text_col).alias("text")).where("language is not null and text is not null")
     return rows.mapInPandas(run, FACTS)
