@@ -75,7 +75,7 @@ LINK = re.compile(r"(?:https?://|www\.)\S+$")
 def complete_end(line: str) -> bool:
     """A line that ends a sentence, closes a remark in parentheses or quotes, or ends with a symbol."""
     bare = line.rstrip()
-    core = bare.rstrip("\"'»”’`*_)]}")
+    core = bare.rstrip("\"'»«”“’`*_)]}")
     if core and core[-1] in TERMINAL:
         return True
     if bare.endswith((")", "]", "}")):
