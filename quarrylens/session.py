@@ -54,6 +54,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, spread over them; others stay as they are, unshuffled.
+
+    For work that costs much more CPU than moving its rows: a table in one small file would otherwise be one task.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application; they need not have it installed."""
     context = spark.sparkContext
