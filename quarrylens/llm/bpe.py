@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.session import spread
+
 #: Where the vocabulary files of public tokenizers lie; a parameter of every operator here.
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Fixed value: the public pattern that splits text before the merges of the 50k vocabulary.
@@ -140,7 +142,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([one], pa.list_(pa.int32()))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_corpus(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary_dir: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.session import cut, spread
+
 #: Phrases that begin a notice (after comment marks and decoration), in lower case, and what they tell.
 #: ``^`` phrases must begin the comment's text, others may stand anywhere in it.
 NOTICES = {
@@ -208,9 +210,7 @@ def file_origins(files: DataFrame, id_col: str = "file_id", file_col: str = "fil
             )
 
     kind = files.schema[id_col].dataType.simpleString()
-    seen = rows.mapInArrow(run, f"id {kind}, origin string, reason string, libraries array<string>, under string")
-    from quarrylens.session import cut
-
+    seen = spread(rows).mapInArrow(run, f"id {kind}, origin string, reason string, libraries array<string>, under string")
     seen = cut(seen)
     known = seen.select(F.explode("libraries").alias("library")).select(F.lower("library").alias("under")).distinct().withColumn("known", F.lit(True))
     out = seen.join(known, "under", "left")

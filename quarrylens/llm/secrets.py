@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.bpe import Bpe, vocabulary, vocabulary_bytes
+from quarrylens.session import spread
 
 #: Fewer characters per subword than this make a string unnatural; random letters and digits have about 1.5 to 2.2.
 UNNATURAL = 2.5
@@ -218,5 +219,5 @@ def credentials(
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(secrets, pa.list_(pa.string())), pa.array(redacted, pa.string())], ["id", "secrets", "redacted"])
 
     kind = values.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, secrets array<string>, redacted string")
+    found = spread(rows).mapInArrow(run, f"id {kind}, secrets array<string>, redacted string")
     return found.distinct().withColumnRenamed("id", id_col)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.session import spread
+
 #: File extensions and the language whose lexer reads them.
 EXTENSIONS = {
     "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
@@ -1089,7 +1091,7 @@ def syntax_faults(files: DataFrame, id_col: str = "file_id", file_col: str = "fi
     package clause. Rows that repeat the same id, file and text count once; other columns of the input are ignored.
     """
     rows = files.select(F.col(id_col).alias("id"), language_column(F.col(file_col)).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = spread(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
