@@ -233,7 +233,8 @@ def most_similar(vectors: DataFrame, node_col: str, vector_col: str, k: int = 5,
         asked = waiting.select("key", "packed", "radius", block.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(base - 1))).alias("d"), F.lit(True).alias("query"))
         told = data.select("key", "packed", F.lit(None).cast("double").alias("radius"), F.explode(F.sequence(F.lit(0), F.lit((chunks or base) - 1))).alias("q"), F.col("block").alias("d"), F.lit(False).alias("query"))
         found = asked.unionByName(told).groupBy("q", "d").applyInArrow(search, schema)
-        both = found.unionByName(best.join(waiting.select("key"), "key", "left_semi")).distinct()
+        both = found.unionByName(best.join(waiting.select("key"), "key", "left_semi"))
+        both = both.groupBy("key", "other").agg(F.max("cosine").alias("cosine"))  # a later round may differ in the last bit
         order = Window.partitionBy("key").orderBy(F.desc("cosine"), "other")
         top = cut(both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"))
         done = best.join(waiting.select("key"), "key", "left_anti")
