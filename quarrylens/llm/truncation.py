@@ -15,10 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.session import cut
+
 #: A length counts as a limit if its texts exceed the mean of the lengths around it by this many deviations and texts.
 DEVIATIONS, LEAST, AROUND = 4.0, 3.0, 16
 #: Shorter fields than this are not looked for: short titles cluster by themselves.
 SHORTEST_LIMIT = 40
+#: A last word is half if it makes up less than this share of all words that begin with it; it may end a text if it does so in CAN_END of its places.
+HALF_SHARE, CAN_END = 0.02, 0.02
+#: Trailing dots are meant if the word before them ends a sentence in MOSTLY of its places, or the last sentence ends STOCK of the other texts with such dots.
+MOSTLY, STOCK = 0.5, 0.05
 
 
 def source_key(source: Column) -> Column:
@@ -147,16 +153,26 @@ def ending(text: str) -> tuple[str, str, str]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, total, final)`` over all texts: how often a word stands whole, and how often before a full stop or line end.
+    """``(word, total, final)`` over all different texts: how often a word stands whole, and how often before a full stop or line end.
 
-    The last word of a text without a full stop tells nothing and doesn't count.
+    The last word of a text without a full stop, or before trailing dots, tells nothing and doesn't count; texts that
+    differ only in case or in what follows such a word are the same.
     """
-    text = F.rtrim(F.lower(F.col(text_col)))
+    stop = r"[)\]`'\"»]*(?:\(\))?`?[.!?。！？।؟](?![.…])"
+    text = F.regexp_replace(F.lower(F.col(text_col)), rf"(?<=\p{{L}})(?!{stop})[^\p{{L}}\p{{N}}]++\z", "")
     word = F.lit(r"(\p{L}+)(?=[^\p{L}])")
     final = F.lit(r"(\p{L}+)(?=[)\]`'\"»]*(?:\(\))?`?(?:[.!?…](?:\s|$)|[.!?…]{2}|[ \t\r]*\n))")
-    total = docs.select(F.explode(F.regexp_extract_all(text, word, 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    ends = docs.select(F.explode(F.regexp_extract_all(text, final, 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("final"))
-    return total.join(ends, "word", "left").select("word", "total", F.coalesce("final", F.lit(0)).alias("final"))
+    different = docs.select(text.alias("text")).distinct()
+    # one pass for both: a word that ends something comes twice
+    seen = F.explode(F.concat(F.transform(F.regexp_extract_all("text", word, 1), lambda w: F.struct(w.alias("word"), F.lit(False).alias("final"))), F.transform(F.regexp_extract_all("text", final, 1), lambda w: F.struct(w.alias("word"), F.lit(True).alias("final")))))
+    return different.select(seen.alias("x")).select("x.*").groupBy("word").agg(F.count_if(~F.col("final")).alias("total"), F.count_if("final").alias("final"))
+
+
+def longer_words(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(word, longer)``: how often the longer words stand that begin with a word of ``words``; only its lengths are cut from each."""
+    sizes = words.agg(F.collect_set(F.char_length("word")).alias("sizes"))
+    starts = counts.crossJoin(F.broadcast(sizes)).select("total", "word", F.explode(F.filter("sizes", lambda n: n < F.char_length("word"))).alias("n"))
+    return starts.groupBy(F.expr("substring(word, 1, n)").alias("word")).agg(F.sum("total").alias("longer"))
 
 
 def truncation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -169,29 +185,36 @@ def truncation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ending(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in found], pa.string()) for i in range(3)], batch.column(2), batch.column(3)], ["id", "ending", "word", "sentence", "source", "sizes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in found], pa.string()) for i in range(3)], batch.column(2), batch.column(3), batch.column(4)], ["id", "ending", "word", "sentence", "source", "sizes", "body"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     sizes = F.array(*[v.cast("int") for v in lengths(F.col("text")).values()])
     names = list(lengths(F.col("text")))
-    rows = base.select("id", "text", "source", sizes.alias("sizes")).mapInArrow(run, f"id {kind}, ending string, word string, sentence string, source string, sizes array<int>").where("ending <> 'blank'").distinct()
+    body = F.xxhash64(F.lower(F.regexp_replace("text", r"(?<![\s\p{Z}])[\s\p{Z}]++\z", "")))
+    rows = base.select("id", "text", "source", sizes.alias("sizes"), body.alias("body")).mapInArrow(run, f"id {kind}, ending string, word string, sentence string, source string, sizes array<int>, body bigint").where("ending <> 'blank'")
+    rows = cut(rows.withColumn("sentence", F.when(F.col("ending") == "dots", F.xxhash64("sentence"))).distinct())
 
     limits = field_limits(docs, text_col, source_col).groupBy("source").agg(F.collect_set(F.concat_ws(":", "measure", F.col("length").cast("string"))).alias("limits"))
     mine = F.array(*[F.concat_ws(":", F.lit(k), F.get("sizes", F.lit(i)).cast("string")) for i, k in enumerate(names)])
     rows = rows.join(limits, "source", "left").withColumn("at_limit", F.coalesce(F.arrays_overlap(mine, "limits"), F.lit(False))).drop("limits", "sizes")
     # only words that end some text are looked up
-    rows = rows.join(word_counts(docs, text_col).withColumnRenamed("final", "ends"), "word", "left")
-    phrases = rows.where("ending = 'dots'").groupBy("sentence").agg(F.count(F.lit(1)).alias("said"))
-    rows = rows.join(phrases, "sentence", "left")
-
-    total, ends = F.coalesce("total", F.lit(0)), F.coalesce("ends", F.lit(0))
-    half_word = (F.col("word") != "") & (total < 2)
-    can_end = ends >= F.greatest(F.lit(1.0), 0.02 * total)
+    looked = rows.where((F.col("word") != "") & F.col("ending").isin("title", "item", "link", "dots")).select("word").distinct()
+    counts = word_counts(docs, text_col)
+    known = looked.join(counts.withColumnRenamed("final", "ends"), "word", "left").join(longer_words(looked, counts), "word", "left")
+    rows = rows.join(known, "word", "left")
+    dots = rows.where("ending = 'dots'")
+    phrases = dots.groupBy("sentence").agg((F.countDistinct("body") - 1).alias("said"))
+    phrases = phrases.crossJoin(F.broadcast(dots.agg((F.countDistinct("body") - 1).alias("others"))))
+    rows = rows.join(phrases.where((F.col("said") > 0) & (F.col("said") >= STOCK * F.col("others"))).select("sentence", F.lit(True).alias("stock")), "sentence", "left")
+
+    total, ends, longer = (F.coalesce(x, F.lit(0)) for x in ("total", "ends", "longer"))
+    half_word = (F.col("word") != "") & ((total == 0) | (total < HALF_SHARE * (total + longer)))
+    can_end = ends >= CAN_END * total
     truncated = (
         F.when(F.col("ending") == "cut", True)
         .when(F.col("ending").isin("whole", "closer"), False)
         .when(F.col("ending") == "link", F.col("at_limit") & half_word)
-        .when(F.col("ending") == "dots", (F.coalesce("said", F.lit(0)) < 4) & ((total < 3) | (ends < 0.5 * total)))
+        .when(F.col("ending") == "dots", F.col("stock").isNull() & ((F.col("word") == "") | half_word | (ends < MOSTLY * total)))
         .when(F.col("at_limit") & F.col("ending").isin("prose", "item"), True)
         .when(F.col("ending").isin("title", "item"), half_word | ((F.col("word") != "") & ~can_end))
         .otherwise(True)

@@ -294,6 +294,19 @@ def test_limits_and_truncated_texts(spark):
     assert truncation.truncated_documents(df.limit(0)).count() == 0
 
 
+def test_cut_words_are_judged_by_shares(spark):
+    whole = [f"We implement the cache and the implementation holds record {i}. Old implem tables fill the cache." for i in range(150)] + ["Fix the cache", "Measure the cache..."]
+    stock = [f"The parser read file {i}. More soon..." for i in range(6)]
+    cut = ["The new parser will soon implem..."] * 5 + ["Fix the implem"] * 4 + ["Fix the implem\n", "Now they call implem, an implementatio..."]
+    once = ["An implem. Their implem, this"]  # makes up next to nothing of the words that begin so
+    rows = [(i, x, "notes") for i, x in enumerate(whole[:2] + [x.replace("Old implem tables", "Old tables") for x in whole[2:]])] + [(1000 + i, x, "notes") for i, x in enumerate(cut)] + [(2000 + i, x, "notes") for i, x in enumerate(stock)] + [(3000 + i, x + " ends.", "notes") for i, x in enumerate(once)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = {1000 + i for i in range(len(cut))}
+    assert {r.doc_id for r in truncation.truncated_documents(df).collect()} == expected
+    copies = df.unionAll(df.withColumn("doc_id", F.col("doc_id") + 10_000)).unionAll(df.withColumn("doc_id", F.col("doc_id") + 20_000))
+    assert {r.doc_id for r in truncation.truncated_documents(copies).collect()} == {i + k for i in expected for k in (0, 10_000, 20_000)}
+
+
 def test_lengths(spark):
     text = 'a&b<"\n\u00e9\U0001f642'
     row = spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in truncation.lengths(F.col("t")).items()]).first()
