@@ -62,6 +62,11 @@ ASSIGNED = re.compile(
 FLAG = re.compile(r"(?:^|\s)--?(?:password|passwd|passphrase|pwd|pass|secret|client-secret|token|access-token|auth-token|api-key|apikey|key|secret-key|private-key|pw)(?:=|\s+)[\"']?([^\s\"']{6,})|(?:^|\s)(?:-u|--user)(?:=|\s+)[\"']?[^\s:\"']+:([^\s\"']{4,})|(?:^|\s)-p([^\s\"'=-][^\s\"']{5,})", re.I)
 LOGIN_CALL = re.compile(r"(?:log_?in|sign_?in|auth(?:enticate|orize)?|set_?(?:password|token|credentials?|api_?key|secret)|credentials?|basic_?auth|use_?token|with_?(?:token|secret|password))\s*\([^()\n]{0,80}$", re.I)
 
+#: The name or key that a value is assigned to, just before the value's quote.
+ASSIGNEE = re.compile(r"([^\W\d][\w.-]*)[\"'`]?\s*\]?\)?\s*(?::\s*[\w.<>\[\]?]+\s*=|:=|=>|==?|:)\s*[bruf]{0,2}[\"'`]*$")
+#: Names of what proves who asks, secret only if the value is random.
+SESSION_WORDS = re.compile(r"(?:^|_)(?:auth|authorization|session|cookie)(?:$|_)")
+
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 HARMLESS = re.compile(
     r"^(?:sha(?:1|224|256|384|512)[-:]|md5[-:]|data:|arn:|urn:|ssh-(?:rsa|ed25519|dss)|ecdsa-sha2|-----BEGIN (?:[A-Z0-9 ]*PUBLIC|CERTIFICATE|X509)|/|\./|\.\./|~/|[A-Za-z]:\\)|^(?:https?|ftp|s3|gs|git|ssh|wss?|[a-z]+)://|^[\w.+-]+@[\w-]+(?:\.[\w-]+)+$|^\w[\w./-]*:\d+\.\d+(?:\.\d+)?(?:[-+.][\w.]+)?$"
@@ -100,6 +105,35 @@ def readable(text: str) -> bool:
     return len(raw) > 6 and sum(32 <= b < 127 for b in raw) / len(raw) > 0.95
 
 
+def surroundings(value: str, context: str | None) -> tuple[list[str], bool]:
+    """Names that ``value`` is assigned to in its excerpt, and whether it is handed to a login call, over all its occurrences."""
+    names, called, at = [], False, (context or "").find(value)
+    while at >= 0:
+        before = context[max(0, at - 100) : at]
+        called = called or bool(LOGIN_CALL.search(before))
+        if assigned := ASSIGNEE.search(before.rpartition("\n")[2]):
+            names.append(name_of(assigned[1]))
+        at = context.find(value, at + len(value))
+    return names, called
+
+
+def random_value(text: str, name: str, confidence: float | None, bpe: Bpe) -> bool:
+    """Whether a bare value under a name that says nothing is too unnatural to be anything but a credential.
+
+    Hexadecimal digits are as often a checksum and count only under names of sessions; a low score asks for more.
+    """
+    if OTHER_WORDS.search(name) or UUID.search(text) or PATTERN.search(text) or len(text) < 16 or not re.fullmatch(r"[\x21-\x7e]+", text):
+        return False
+    if not (re.search(r"\d", text) and re.search(r"[A-Za-z]", text)):
+        return False
+    if re.fullmatch(r"[0-9a-fA-F]+", text) and not SESSION_WORDS.search(name):
+        return False
+    if readable(text) or re.fullmatch(r"[a-z]+(?:[-_./:][a-z]+|[-_./:]?\d+)*", text):
+        return False
+    low = confidence is not None and 0 <= confidence < 0.3
+    return bpe.chars_per_token(text) < UNNATURAL - (0.8 if low else 0.3)
+
+
 def secret_parts(value: str | None, variable: str | None, confidence: float | None, context: str | None, bpe: Bpe) -> list[str]:
     """The parts of ``value`` that are usable secrets; none if it holds none."""
     if not value or not value.strip():
@@ -145,13 +179,12 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
     if placeholder(text) or HARMLESS.search(text) or PATTERN.search(text) and " " in text or "\n" in text:
         return []
     name = name_of(variable)
-    secretive = bool(SECRET_WORDS.search(name)) and not OTHER_WORDS.search(name)
-    before = ""
-    if context and value in context:
-        before = context[max(0, context.find(value) - 100) : context.find(value)]
-    called = bool(LOGIN_CALL.search(before))
-    if not (secretive or called):
-        return []
+    assigned, called = surroundings(value, context)
+    listed = lambda n: bool(SECRET_WORDS.search(n)) and not OTHER_WORDS.search(n)
+    if not listed(name) and not OTHER_WORDS.search(name):
+        name = next((n for n in assigned if listed(n)), name or next(iter(assigned), ""))
+    if not (listed(name) or called):
+        return [text] if random_value(text, name, confidence, bpe) else []
     if UUID.search(text) and not re.search(r"key|token|secret", name):
         return []
     words = text.split()

@@ -46,6 +46,25 @@ def test_harmless_values_are_not(value, name):
     assert not parts(value, name)
 
 
+@pytest.mark.parametrize(
+    ("value", "name", "context"),
+    [
+        ("kX9pQ2vR7tLm", None, 'a = 1\ndb_password = "kX9pQ2vR7tLm"\n'), ("kX9pQ2vR7tLm", "value", '{"apiKey": "kX9pQ2vR7tLm"}'), ("kX9pQ2vR7tLm", None, 'x = "kX9pQ2vR7tLm"\ny = 3\nlogin("bob", "kX9pQ2vR7tLm")'),
+        ("f7Kq9ZtWx3LmP0vRb2Ns", "cookie", 'cookie = "f7Kq9ZtWx3LmP0vRb2Ns"'), ("70635cd5b1603f6d4defb9a4f800aa7f", "session", None),
+    ],
+)
+def test_bare_values_are_read_with_their_surroundings(value, name, context):
+    assert parts(value, name, context) == [value]
+
+
+@pytest.mark.parametrize(
+    ("value", "name", "context"),
+    [("70635cd5b1603f6d4defb9a4f800aa7f", None, 'checksum = "70635cd5b1603f6d4defb9a4f800aa7f"'), ("c3BhcnNlIHRoZSBwZW5kaW5nIGFsZXJ0IGlzIGNhbmNl", "load_queue", None), ("release-2024-11-03-build-1187", "tag", None), ("Enter it here 1", None, 'password_label = "Enter it here 1"')],
+)
+def test_harmless_bare_values_stay(value, name, context):
+    assert not parts(value, name, context)
+
+
 def test_masking_keeps_everything_else(spark):
     token = "ghp_" + "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY1zA2"
     text = f'a = 1\nkey = "{token}"  # was {token}\n'
