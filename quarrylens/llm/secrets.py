@@ -52,6 +52,7 @@ JWT = re.compile(r"eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{16,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:.|\n|\\n){40,}?)(?:-----END|$)")
 URL_LOGIN = re.compile(r"[a-zA-Z][\w+.-]*://[^\s/:@]*:([^\s/@]+(?:@[^\s/@]+(?=@))?)@[\w.\[\]-]+")
 URL_PARAM = re.compile(r"[?&;#](?:api[-_]?key|apikey|key|token|access[-_]?token|auth[-_]?token|auth|sig|signature|secret|client[-_]?secret|password|passwd|pwd|pass|code|x-api-key|subscription-key|sas|jwt)=([^&#;\s\"']{8,})", re.I)
+URL_PASSWORD = re.compile(r"[?&;#](?:client[-_]?secret|secret|password|passwd|passphrase|pwd|pass)=([^&#;\s\"']{4,})", re.I)
 HOOK = re.compile(r"https?://[^\s/]*(?:hook|webhook|discord|chat\.|outlook)[^\s/]*(?:/[\w.-]+)*?/([A-Za-z0-9_-]{8,}/[A-Za-z0-9_-]{12,}|[A-Za-z0-9_-]{20,})", re.I)
 HEADER = re.compile(r"(?:^|[\s:\"'=])(Bearer|Basic|Token|ApiKey|Digest|AWS4-HMAC-SHA256|SharedKey|Negotiate)\s+([A-Za-z0-9._~+/=:-]{12,})", re.I)
 ASSIGNED = re.compile(
@@ -152,6 +153,9 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
     for m in URL_PARAM.finditer(text):
         if not placeholder(m[1]) and (bpe.chars_per_token(m[1]) < UNNATURAL + 0.5 and re.search(r"\d", m[1]) or len(m[1]) > 24):
             parts.append(m[1])
+    if "://" in text:
+        # the name is evidence enough, whatever the value looks like
+        parts += [m[1] for m in URL_PASSWORD.finditer(text) if not placeholder(m[1]) and not PATTERN.search(m[1])]
     for m in HOOK.finditer(text):
         if re.search(r"\d", m[1]) and not placeholder(m[1]) and bpe.chars_per_token(m[1]) < UNNATURAL:
             parts.append(m[1])
@@ -162,14 +166,17 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
         if m[1].lower() == "basic" and not re.search(r"[0-9+/=]", token) or m[1].lower() != "basic" and not re.search(r"\d", token):
             continue
         parts.append(token)
-    if not PATTERN.search(text) and "://" not in text.split(" ")[0].split("=")[0]:
-        for m in FLAG.finditer(text):
+    # an address in front has had its own rules; what follows it is read like any other text
+    first = text.split(None, 1)[0]
+    plain = text[len(first) :] if "://" in first.split("=")[0] else text
+    if not PATTERN.search(plain):
+        for m in FLAG.finditer(plain):
             part = m[1] or m[2] or m[3]
             if part and not placeholder(part) and (m[3] is None or re.search(r"\d", part)):
                 parts.append(part)
-        for m in ASSIGNED.finditer(text):
+        for m in ASSIGNED.finditer(plain):
             part = m[1]
-            joined = re.search(r"[=:]\s*[\"']?$", text[: m.start(1)])
+            joined = re.search(r"[=:]\s*[\"']?$", plain[: m.start(1)])
             if joined and not placeholder(part) and (re.search(r"\d|[^\w]", part) or bpe.chars_per_token(part) < UNNATURAL) and not HARMLESS.search(part):
                 parts.append(part)
     if parts:

@@ -65,6 +65,17 @@ def test_harmless_bare_values_stay(value, name, context):
     assert not parts(value, name, context)
 
 
+@pytest.mark.parametrize(
+    ("value", "secret"),
+    [
+        ("jdbc:postgresql://db/x?user=app&password=Meter-early", "Meter-early"), ("jdbc:sqlserver://h;user=sa;password=Abc123", "Abc123"), ("https://x.invalid/a?client_secret=lantern&x=1", "lantern"),
+        ("https://x.invalid/a --password Abc123", "Abc123"), ("jdbc:mysql://h/x?password=${DB_PW}", None), ("jdbc:mysql://h/x?password=changeme", None), ("https://x.invalid/a?code=overview-page", None),
+    ],
+)
+def test_passwords_of_addresses(value, secret):
+    assert parts(value, "dsn") == ([secret] if secret else [])
+
+
 def test_masking_keeps_everything_else(spark):
     token = "ghp_" + "aB3dE5fG7hJ9kL1mN2pQ4rS6tU8vW0xY1zA2"
     text = f'a = 1\nkey = "{token}"  # was {token}\n'
