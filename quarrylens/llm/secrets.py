@@ -49,7 +49,9 @@ PREFIXED = re.compile(
     r"|hf_[A-Za-z0-9]{30,}|rubygems_[0-9a-f]{30,}|dckr_pat_[\w-]{20,}|sq0(?:atp|csp)-[\w-]{20,}|lin_api_[A-Za-z0-9]{30,}|NRAK-[A-Z0-9]{20,}|PMAK-[\w-]{20,}|figd_[\w-]{20,}|dapi[0-9a-f]{32}|tfp_[\w-]{20,}|AGE-SECRET-KEY-[A-Z0-9]{20,}|[a-z]{3,5}[._](?:live|prod|test|k|key|sk|pat|secret)[-_][A-Za-z0-9]{16,})"
 )
 JWT = re.compile(r"eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{16,}")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:.|\n|\\n){40,}?)(?:-----END|$)")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:(?!-----)[\s\S]){40,})(?:-----END [A-Z0-9 ]*-----)?")
+#: What no key's body holds: gaps, brackets and masks.
+PEM_GAP = re.compile(r"\.{3}|…|[<>\[\]{}*$]|redacted|x{8}", re.I)
 URL_LOGIN = re.compile(r"[a-zA-Z][\w+.-]*://[^\s/:@]*:([^\s/@]+(?:@[^\s/@]+(?=@))?)@[\w.\[\]-]+")
 URL_PARAM = re.compile(r"[?&;#](?:api[-_]?key|apikey|key|token|access[-_]?token|auth[-_]?token|auth|sig|signature|secret|client[-_]?secret|password|passwd|pwd|pass|code|x-api-key|subscription-key|sas|jwt)=([^&#;\s\"']{8,})", re.I)
 URL_PASSWORD = re.compile(r"[?&;#](?:client[-_]?secret|secret|password|passwd|passphrase|pwd|pass)=([^&#;\s\"']{4,})", re.I)
@@ -92,6 +94,13 @@ def placeholder(part: str) -> bool:
     return bool(re.search(r"\$\{|\$\(|\{\{|<[a-zA-Z][\w -]*>|\$[A-Z_]{2,}|%[A-Z_]{3,}%", core)) or bool(re.search(r"\[[^\]]*-[^\]]*\]|\\[dwsb]|\{\d+,?\d*\}", core))
 
 
+def usable_key(body: str) -> bool:
+    """Whether a private key's body is all there: no gap, and most of it, piece by piece, no placeholder."""
+    core = re.sub(r"\\[nr]|\s", "", re.sub(r"(?:^|(?<=\n)|(?<=\\n))[A-Za-z-]+: [^\n\\]*", "", body))
+    pieces = [core[i : i + 60] for i in range(0, len(core), 60) if i == 0 or len(core) - i >= 16]
+    return not PEM_GAP.search(core) and 2 * sum(placeholder(x) for x in pieces) < len(pieces)
+
+
 def name_of(variable: str | None) -> str:
     """A variable's name in lower case with words joined by "_"."""
     return re.sub(r"[^a-z0-9äöüñ]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", variable or "").lower()).strip("_")
@@ -140,11 +149,9 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
     if not value or not value.strip():
         return []
     text = value.strip()
-    pem = PEM.search(text)
-    if pem:
-        body = pem[1]
-        return [] if placeholder(re.sub(r"\\n|\s", "", body)[:60]) else [body.strip("\n")]
-    parts: list[str] = []
+    parts = [m[1].strip("\n") for m in PEM.finditer(text) if usable_key(m[1])]
+    rest = PEM.sub(";", text)
+    keyed, text = rest != text, rest
     for pattern in (JWT, PREFIXED):
         parts += [m[0] for m in pattern.finditer(text) if not placeholder(re.sub(r"^[A-Za-z_]+[-_.]", "", m[0]))]
     for m in URL_LOGIN.finditer(text):
@@ -179,7 +186,7 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
             joined = re.search(r"[=:]\s*[\"']?$", plain[: m.start(1)])
             if joined and not placeholder(part) and (re.search(r"\d|[^\w]", part) or bpe.chars_per_token(part) < UNNATURAL) and not HARMLESS.search(part):
                 parts.append(part)
-    if parts:
+    if parts or keyed:
         return list(dict.fromkeys(parts))
 
     # a bare value: what it is called and where it stands decides
