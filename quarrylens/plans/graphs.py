@@ -118,7 +118,7 @@ def path_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bottlenecks(spark: SparkSession, sf: str) -> DataFrame:
-    edges = cut(repo_edges(spark, sf, HEAVY))
+    edges = cut(repo_edges(spark, sf))
     return ops.betweenness(edges, _nodes(edges)).where("betweenness >= 0.001").select("node", F.round("betweenness", 6).alias("betweenness"))
 
 

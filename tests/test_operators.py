@@ -144,3 +144,12 @@ def test_embedding_cache(spark):
     key = texts.where("text = 'a'").select(F.md5(F.concat(F.lit("m\0"), F.col("text"))).alias("text_md5"), F.array(F.lit(1.0)).alias("embedding"))
     hit, miss = history.cached_or_new(texts, key, "m")
     assert [r.text for r in hit.collect()] == ["a"] and [r.text for r in miss.collect()] == ["b"]
+
+
+def test_bottlenecks_keep_light_edges(spark, sf):
+    from quarrylens.plans import bindings, graphs
+
+    edges = bindings.repo_edges(spark, sf)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    want = {r.node: r.betweenness for r in graph.betweenness(edges, nodes).where("betweenness >= 0.001").collect()}
+    assert edges.where("weight < 3").count() and {r.node: r.betweenness for r in graphs.bottlenecks(spark, sf).collect()} == pytest.approx(want, abs=1e-5)
