@@ -69,8 +69,8 @@ def syntactic(functions: DataFrame, id_col: str, text_col: str, line_least: floa
 def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, least: float, within: str | None = None) -> DataFrame:
     """``(a, b, similarity)`` of the pairs with that cosine.
 
-    Exact for vectors of one ``within`` group (label, module); without a group, pairs come from the projected-neighbour
-    index of the corpus package instead, as a join over all pairs doesn't scale.
+    Exact, by a join of all pairs of one ``within`` group (label, module), or of all vectors without a group; pairs
+    across groups don't come out, and large groups don't scale.
     """
     key = F.col(within) if within else F.lit(0)
     left = vectors.select(F.col(id_col).alias("a"), key.alias("k"), F.col(vector_col).alias("va"))
