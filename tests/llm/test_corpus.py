@@ -178,6 +178,37 @@ def test_chi_square_and_tree():
     assert np.abs(back - unit).max() < 2e-5
 
 
+def test_cells_share_out_every_neighbour():
+    rng = np.random.default_rng(5)
+    points = (24 * rng.standard_normal((500, 6))).astype(np.float32)
+    tree = neighbours.fit_tree(points, 16)
+    masses = neighbours.cell_masses(tree, points, np.full(500, 9.0))
+    assert np.abs(masses.sum(axis=1) - 1).max() < 1e-4
+    # simulated neighbours lie in the leaves as often as the masses say
+    near = points[:, None, :] + 9 * rng.standard_normal((500, 200, 6)).astype(np.float32)
+    leaves = np.stack([neighbours.leaf_of(tree, x) for x in near])
+    share = np.stack([np.bincount(x, minlength=16) / 200 for x in leaves])
+    assert np.abs(share.mean(axis=0) - masses.mean(axis=0)).max() < 0.01
+    assert np.abs(neighbours.below(np.array([-1.96, 0.0, 1.0])) - [0.0249979, 0.5, 0.8413447]).max() < 1e-6
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_LEAST", 64)
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((250, 64))
+    points = np.repeat(centres, 8, axis=0) + 0.35 * rng.standard_normal((2000, 64))
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    df = spark.createDataFrame([(f"v{i:04}", [float(x) for x in p]) for i, p in enumerate(points)], "node string, v array<float>")
+    report = {}
+    got = neighbours.most_similar(df, "node", "v", 5, 64, report=report).toPandas()
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    true = {(f"v{i:04}", f"v{j:04}") for i in range(2000) for j in np.argsort(-cos[i])[:5]}
+    assert len(true & set(zip(got.node, got.other))) / len(true) > 0.97
+    assert report["blocks"] >= 8 and report["sketches_compared"] < 0.8 * 2000**2
+
+
 # -------------------------------------------------------------------------------------------------------- syntax
 
 GOOD = {
