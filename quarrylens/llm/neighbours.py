@@ -424,7 +424,7 @@ def similar_points(members: DataFrame, k: int, dims: int, sure: float = SURE, pr
         if state.isEmpty():
             break
         asking = placed.join(table, "leaf").withColumn("block", (F.col("base") + F.pmod("part", "n")).cast("int")).select("key", "packed", "sketch", "block")
-        joined = asking.join(state, "key", "left")
+        joined = asking.join(state.select("key", "low", "radius", "reach"), "key", "left")
         targets = F.array_remove("reach", F.col("block"))
         chunks = _chunks(spark, state.join(small.select("key", F.col("block").alias("home")), "key").select(F.explode(F.when(F.size("reach") > 0, F.array_union("reach", F.array("home"))).otherwise(F.col("reach"))).alias("block")), 2 * rows)
         told = F.struct(F.col("block"), F.lit(True).alias("data"))
