@@ -3,28 +3,34 @@
 Every text's length is recomputed as other systems count it: characters, bytes, UTF-16 units, after escaping for HTML or
 JSON, with either line end. A length that far more texts of one source share than its neighbours exposes a hidden field
 limit. Then the ending is inspected: an open code block, half a character, a cut mark, half a word or half a sentence.
-Whether a word is whole, and whether a sentence can end with it, is read from the whole corpus.
+Whether a word is whole, and whether a sentence can end with it, is read from the whole corpus. One Arrow pass over the
+texts gives lengths, endings and word counts; everything after it works on a few bytes a text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.session import cut
+from quarrylens.session import cut, spread
 
-#: A length counts as a limit if its texts exceed the mean of the lengths around it by this many deviations and texts.
-DEVIATIONS, LEAST, AROUND = 4.0, 3.0, 16
-#: Shorter fields than this are not looked for: short titles cluster by themselves.
-SHORTEST_LIMIT = 40
+#: A length counts as a limit if its texts exceed the mean of the lengths around it by this many deviations and texts,
+#: and if at least that share of them is in excess.
+DEVIATIONS, LEAST, AROUND, CLOSE, EXCESS = 4.0, 3.0, 16, 2, 0.5
 #: A last word is half if it makes up less than this share of all words that begin with it; it may end a text if it does so in CAN_END of its places.
 HALF_SHARE, CAN_END = 0.02, 0.02
+#: An open sentence whose last word tells nothing is cut unless that share of its source's texts away from limits ends openly.
+HABIT = 0.1
 #: Trailing dots are meant if the word before them ends a sentence in MOSTLY of its places, or the last sentence ends STOCK of the other texts with such dots.
 MOSTLY, STOCK = 0.5, 0.05
+#: What lengths are counted in.
+MEASURES = ["characters", "bytes", "utf16", "html", "html_quotes", "html_bytes", "json", "json_ascii", "json_bytes", "crlf", "lf", "lf_bytes"]
 
 
 def source_key(source: Column) -> Column:
@@ -32,24 +38,69 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.trim(source)), r"[\s_\-]+", "_"), F.lit(""))
 
 
-def lengths(text: Column) -> dict[str, Column]:
-    """The length of a text as different systems count it."""
+def lengths(text: str) -> list[int]:
+    """The length of a text by each of ``MEASURES``: escaped for HTML or JSON, as bytes, with either line end."""
+    chars, octets, ascii_ = len(text), len(text.encode("utf-8", "replace")), len(text.encode("ascii", "ignore"))
+    astral = len(text.encode("utf-16-le", "replace")) // 2 - chars
+    count = text.count
+    feeds, pairs = count("\n"), count("\r\n")
+    html = 4 * count("&") + 3 * (count("<") + count(">"))
+    double = count('"')
+    quotes = 5 * (double + count("'"))
+    json = double + count("\\") + feeds + count("\r") + count("\t") + count("\f") + count("\b")
+    return [
+        chars, octets, chars + astral, chars + html, chars + html + quotes, octets + html + quotes, chars + json, chars + json + 5 * (chars - ascii_) + 6 * astral, octets + json,
+        chars + feeds - pairs, chars - pairs, octets - pairs,
+    ]
 
-    def count(pattern: str) -> Column:
-        return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
-    chars, octets = F.char_length(text), F.octet_length(text)
-    astral = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""))
-    breaks, pairs = count(r"\n"), F.size(F.regexp_extract_all(text, F.lit(r"\r\n"), 0))
-    html = 4 * count("&") + 3 * count("[<>]")
-    quotes = 5 * count('"') + 5 * count("'")
-    json = count(r'["\\\n\r\t\f\x08]')
-    beyond = count(r"[^\x{0}-\x{7F}]")
-    return {
-        "characters": chars, "bytes": octets, "utf16": chars + astral, "html": chars + html, "html_quotes": chars + html + quotes,
-        "html_bytes": octets + html + quotes, "json": chars + json, "json_ascii": chars + json + 5 * beyond + 6 * astral, "json_bytes": octets + json,
-        "crlf": chars + breaks - pairs, "lf": chars - pairs, "lf_bytes": octets - pairs,
-    }
+def text_facts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``(id, source, ending, word, sentence, body, hash, sizes, counts)`` of every text that isn't null or blank, in one pass.
+
+    ``counts`` holds the batch's words in its first row: how often each stands whole and how often before a full stop or
+    line end. It is written to the shared checkpoint folder, so the texts are read once.
+    """
+    base = spread(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where("text rlike '\\\\S'"))
+
+    def number(text: str) -> int:
+        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            found = [ending(t) for t in texts]
+            counts: Counter[str] = Counter()
+            finals: Counter[str] = Counter()
+            for t in texts:
+                whole, ends = word_uses(t)
+                counts.update(whole)
+                finals.update(ends)
+            first = [[{"word": w, "total": n, "final": finals[w]} for w, n in counts.items()]] + [None] * (len(texts) - 1) if texts else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:2], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([number(x[2]) if x[0] == "dots" else None for x in found], pa.int64()),
+                    pa.array([number(t.rstrip().lower()) for t in texts], pa.int64()), pa.array([number(t) for t in texts], pa.int64()), pa.array([lengths(t) for t in texts], pa.list_(pa.int32())),
+                    pa.array(first, pa.list_(pa.struct([("word", pa.string()), ("total", pa.int64()), ("final", pa.int64())]))),
+                ],
+                ["id", "source", "ending", "word", "sentence", "body", "hash", "sizes", "counts"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return cut(base.mapInArrow(run, f"id {kind}, source string, ending string, word string, sentence bigint, body bigint, hash bigint, sizes array<int>, counts array<struct<word:string,total:bigint,final:bigint>>"))
+
+
+def limits_of(facts: DataFrame) -> DataFrame:
+    sized = facts.select("source", "hash", F.posexplode("sizes").alias("m", "length")).distinct()
+    counts = sized.groupBy("source", "m", "length").agg(F.count(F.lit(1)).alias("texts"))
+
+    def mean(reach: int) -> Column:
+        near = Window.partitionBy("source", "m").orderBy("length").rangeBetween(-reach, reach)
+        return (F.sum("texts").over(near) - F.col("texts")) / (reach + F.least(F.lit(reach), F.col("length") - 1))  # there are no lengths below 1
+
+    # the close neighbours as well: where texts of a kind gather around a length, no single length stands out
+    counts = counts.withColumn("expected", F.greatest(mean(AROUND), mean(CLOSE)))
+    high = (F.col("texts") > F.col("expected") + DEVIATIONS * F.sqrt("expected") + LEAST) & (F.col("expected") <= (1 - EXCESS) * F.col("texts"))
+    return counts.where(high).select("source", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("m") + 1).alias("measure"), "m", "length", "texts", "expected")
 
 
 def field_limits(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -57,14 +108,7 @@ def field_limits(docs: DataFrame, text_col: str = "text", source_col: str = "sou
 
     Equal texts of a source count once, so repeated rows expose nothing. Null, empty and blank texts don't count.
     """
-    rows = docs.select(source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where("text rlike '\\\\S'")
-    rows = rows.select("source", F.xxhash64("text").alias("hash"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("length")) for k, v in lengths(F.col("text")).items()])).alias("x"))
-    rows = rows.select("source", "x.measure", "x.length", "hash").where(F.col("length") >= SHORTEST_LIMIT - AROUND).distinct()
-    counts = rows.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("texts"))
-    near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-AROUND, AROUND)
-    counts = counts.withColumn("expected", (F.sum("texts").over(near) - F.col("texts")) / (2.0 * AROUND))
-    high = F.col("texts") > F.col("expected") + DEVIATIONS * F.sqrt("expected") + LEAST
-    return counts.where(high & (F.col("length") >= SHORTEST_LIMIT)).select("source", "measure", "length", "texts", "expected")
+    return limits_of(text_facts(docs, source_col, text_col, source_col)).drop("m")
 
 
 #: Marks that software leaves where it cuts, and how closing lines begin.
@@ -152,20 +196,26 @@ def ending(text: str) -> tuple[str, str, str]:
     return "prose", word, sentence
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, total, final)`` over all different texts: how often a word stands whole, and how often before a full stop or line end.
+LETTERS = re.compile(r"[^\W\d_]+")
+#: What may follow the last word of a sentence or line.
+STOP = re.compile(r"[)\]`'\"»]*(?:\(\))?`?[.!?。！？।؟](?![.…])")
+FINAL = re.compile(r"([^\W\d_]++)[)\]`'\"»]*+(?:\(\))?`?(?:[.!?…](?:\s|$)|[.!?…]{2}|[ \t\r]*+\n)")
+
 
-    The last word of a text without a full stop, or before trailing dots, tells nothing and doesn't count; texts that
-    differ only in case or in what follows such a word are the same.
+def word_uses(text: str) -> tuple[list[str], list[str]]:
+    """(words, words before a full stop or line end) in lower case.
+
+    The last word of a text without a full stop, or before trailing dots, tells nothing and doesn't count.
     """
-    stop = r"[)\]`'\"»]*(?:\(\))?`?[.!?。！？।؟](?![.…])"
-    text = F.regexp_replace(F.lower(F.col(text_col)), rf"(?<=\p{{L}})(?!{stop})[^\p{{L}}\p{{N}}]++\z", "")
-    word = F.lit(r"(\p{L}+)(?=[^\p{L}])")
-    final = F.lit(r"(\p{L}+)(?=[)\]`'\"»]*(?:\(\))?`?(?:[.!?…](?:\s|$)|[.!?…]{2}|[ \t\r]*\n))")
-    different = docs.select(text.alias("text")).distinct()
-    # one pass for both: a word that ends something comes twice
-    seen = F.explode(F.concat(F.transform(F.regexp_extract_all("text", word, 1), lambda w: F.struct(w.alias("word"), F.lit(False).alias("final"))), F.transform(F.regexp_extract_all("text", final, 1), lambda w: F.struct(w.alias("word"), F.lit(True).alias("final")))))
-    return different.select(seen.alias("x")).select("x.*").groupBy("word").agg(F.count_if(~F.col("final")).alias("total"), F.count_if("final").alias("final"))
+    low = text.lower()
+    words = LETTERS.findall(low)
+    if words:
+        last = low.rfind(words[-1])
+        tail = low[last + len(words[-1]) :]
+        if not re.search(r"\d", tail) and not STOP.match(tail):
+            words.pop()
+            low = low[:last]
+    return words, FINAL.findall(low)
 
 
 def longer_words(words: DataFrame, counts: DataFrame) -> DataFrame:
@@ -176,50 +226,48 @@ def longer_words(words: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def truncation(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(id, source, ending, at_limit, truncated)`` of every text that isn't null, empty or blank.
+    """``(id, source, ending, at_limit, evidence, truncated)`` of every text that isn't null, empty or blank.
 
-    Rows that repeat the same id, source and text count once.
+    A text at a limit is cut if it ends openly. Away from limits the ending needs evidence of its own: a cut mark, half a
+    word, a word that ends nothing, or an open sentence in a source that has hardly any. ``evidence`` is "limit", "ending" or
+    "both" for cut texts. Rows that repeat the same id, source and text count once; null sources are one source.
     """
-    base = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where("text rlike '\\\\S'")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [ending(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[i] for x in found], pa.string()) for i in range(3)], batch.column(2), batch.column(3), batch.column(4)], ["id", "ending", "word", "sentence", "source", "sizes", "body"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    sizes = F.array(*[v.cast("int") for v in lengths(F.col("text")).values()])
-    names = list(lengths(F.col("text")))
-    body = F.xxhash64(F.lower(F.regexp_replace("text", r"(?<![\s\p{Z}])[\s\p{Z}]++\z", "")))
-    rows = base.select("id", "text", "source", sizes.alias("sizes"), body.alias("body")).mapInArrow(run, f"id {kind}, ending string, word string, sentence string, source string, sizes array<int>, body bigint").where("ending <> 'blank'")
-    rows = cut(rows.withColumn("sentence", F.when(F.col("ending") == "dots", F.xxhash64("sentence"))).distinct())
-
-    limits = field_limits(docs, text_col, source_col).groupBy("source").agg(F.collect_set(F.concat_ws(":", "measure", F.col("length").cast("string"))).alias("limits"))
-    mine = F.array(*[F.concat_ws(":", F.lit(k), F.get("sizes", F.lit(i)).cast("string")) for i, k in enumerate(names)])
-    rows = rows.join(limits, "source", "left").withColumn("at_limit", F.coalesce(F.arrays_overlap(mine, "limits"), F.lit(False))).drop("limits", "sizes")
-    # only words that end some text are looked up
-    looked = rows.where((F.col("word") != "") & F.col("ending").isin("title", "item", "link", "dots")).select("word").distinct()
-    counts = word_counts(docs, text_col)
+    facts = text_facts(docs, id_col, text_col, source_col)
+    rows = facts.drop("counts").where("ending <> 'blank'").distinct()
+    limits = limits_of(facts).groupBy("source").agg(F.collect_set(F.concat_ws(":", "m", "length")).alias("limits"))
+    mine = F.transform("sizes", lambda x, i: F.concat_ws(":", i, x))
+    rows = rows.join(limits, "source", "left").withColumn("at_limit", F.coalesce(F.arrays_overlap(mine, "limits"), F.lit(False))).drop("limits", "sizes", "hash")
+    # only words that end some text are looked up; the other rows stay out of the join
+    asks = (F.col("word") != "") & F.col("ending").isin("title", "item", "link", "dots", "prose")
+    rows = cut(rows.withColumn("asks", asks))
+    looked = rows.where("asks").select("word").distinct()
+    counts = facts.where("counts is not null").select(F.inline("counts")).groupBy("word").agg(F.sum("total").alias("total"), F.sum("final").alias("final"))
+    counts = cut(counts)
     known = looked.join(counts.withColumnRenamed("final", "ends"), "word", "left").join(longer_words(looked, counts), "word", "left")
-    rows = rows.join(known, "word", "left")
+    none = F.lit(None).cast("bigint")
+    rows = rows.where("asks").join(known, "word", "left").unionByName(rows.where("not asks").withColumns({"total": none, "ends": none, "longer": none}))
     dots = rows.where("ending = 'dots'")
     phrases = dots.groupBy("sentence").agg((F.countDistinct("body") - 1).alias("said"))
     phrases = phrases.crossJoin(F.broadcast(dots.agg((F.countDistinct("body") - 1).alias("others"))))
-    rows = rows.join(phrases.where((F.col("said") > 0) & (F.col("said") >= STOCK * F.col("others"))).select("sentence", F.lit(True).alias("stock")), "sentence", "left")
+    stock = phrases.where((F.col("said") > 0) & (F.col("said") >= STOCK * F.col("others"))).select("sentence", F.lit(True).alias("stock"))
+    rows = dots.join(stock, "sentence", "left").unionByName(rows.where("ending <> 'dots'").withColumn("stock", F.lit(None).cast("boolean")))
+    habits = rows.where("not at_limit").groupBy("source").agg((F.count_if(F.col("ending") == "prose") / F.count(F.lit(1))).alias("habit"))
+    rows = rows.join(habits, "source", "left")
 
     total, ends, longer = (F.coalesce(x, F.lit(0)) for x in ("total", "ends", "longer"))
-    half_word = (F.col("word") != "") & ((total == 0) | (total < HALF_SHARE * (total + longer)))
-    can_end = ends >= CAN_END * total
-    truncated = (
-        F.when(F.col("ending") == "cut", True)
-        .when(F.col("ending").isin("whole", "closer"), False)
-        .when(F.col("ending") == "link", F.col("at_limit") & half_word)
-        .when(F.col("ending") == "dots", F.col("stock").isNull() & ((F.col("word") == "") | half_word | (ends < MOSTLY * total)))
-        .when(F.col("at_limit") & F.col("ending").isin("prose", "item"), True)
-        .when(F.col("ending").isin("title", "item"), half_word | ((F.col("word") != "") & ~can_end))
-        .otherwise(True)
+    half_word = F.col("asks") & ((total == 0) | (total < HALF_SHARE * (total + longer)))
+    open_word = half_word | (F.col("asks") & (ends < CAN_END * total))
+    kind, limit = F.col("ending"), F.col("at_limit")
+    own = (
+        F.when(kind == "cut", True)
+        .when(kind == "dots", F.col("stock").isNull() & ((F.col("word") == "") | half_word | (ends < MOSTLY * total)))
+        .when(kind.isin("title", "item"), open_word)
+        .when(kind == "prose", open_word | (~limit & (F.col("habit") < HABIT)))
+        .otherwise(False)
     )
-    return rows.select("id", "source", "ending", "at_limit", truncated.alias("truncated"))
+    at = limit & (kind.isin("prose", "item", "cut") | (kind.isin("link", "title") & half_word))
+    evidence = F.when(own & limit, "both").when(own, "ending").when(at, "limit")
+    return rows.select("id", "source", "ending", "at_limit", evidence.alias("evidence"), evidence.isNotNull().alias("truncated"))
 
 
 def truncated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -228,7 +276,7 @@ def truncated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def truncation_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per source: texts, truncated texts, their rate and the texts that stand exactly at a field limit."""
+    """Per source: texts, truncated texts by evidence, their rate and the texts that stand exactly at a field limit."""
     out = truncation(docs, id_col, text_col, source_col).groupBy("source")
-    out = out.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("truncated").cast("bigint")).alias("truncated"), F.sum(F.col("at_limit").cast("bigint")).alias("at_limit"))
+    out = out.agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("truncated").cast("bigint")).alias("truncated"), F.sum(F.col("at_limit").cast("bigint")).alias("at_limit"), *[F.count_if(F.col("evidence") == x).alias(f"by_{x}") for x in ("limit", "ending", "both")])
     return out.withColumn("rate", F.col("truncated") / F.col("texts"))

@@ -379,15 +379,37 @@ def test_cut_words_are_judged_by_shares(spark):
     assert {r.doc_id for r in truncation.truncated_documents(copies).collect()} == {i + k for i in expected for k in (0, 10_000, 20_000)}
 
 
-def test_lengths(spark):
+def test_lengths():
     text = 'a&b<"\n\u00e9\U0001f642'
-    row = spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in truncation.lengths(F.col("t")).items()]).first()
+    got = dict(zip(truncation.MEASURES, truncation.lengths(text), strict=True))
     import html
     import json
 
-    assert row.characters == 8 and row.bytes == len(text.encode()) and row.utf16 == 9 and row.crlf == 9
-    assert row.html == len(html.escape(text, quote=False)) and row.html_quotes == len(html.escape(text))
-    assert row.json == len(json.dumps(text, ensure_ascii=False)) - 2 and row.json_ascii == len(json.dumps(text)) - 2
+    assert got["characters"] == 8 and got["bytes"] == len(text.encode()) and got["utf16"] == 9 and got["crlf"] == 9
+    assert got["html"] == len(html.escape(text, quote=False)) and got["html_quotes"] == len(html.escape(text))
+    assert got["json"] == len(json.dumps(text, ensure_ascii=False)) - 2 and got["json_ascii"] == len(json.dumps(text)) - 2
+    broken = "a\r\nb\nc"
+    got = dict(zip(truncation.MEASURES, truncation.lengths(broken), strict=True))
+    assert got["crlf"] == 7 and got["lf"] == got["lf_bytes"] == 5 and truncation.lengths("") == [0] * 12
+
+
+def test_limits_decide_where_the_ending_tells_nothing(spark):
+    random.seed(4)
+    nouns = ["cache", "record", "parser", "store"]
+    sentence = lambda: f"The {random.choice(nouns)} keeps a {random.choice(nouns)}."
+    whole = [" ".join(sentence() for _ in range(random.randint(3, 30))) for _ in range(400)]
+    # the source's habit: every fifth text has no full stop at its end
+    open_ = [x[:-1] if i % 5 == 0 else x for i, x in enumerate(whole)]
+    body = " ".join(sentence() for _ in range(40))
+    at = [f"{i:03} {body}"[: 260 - len(" The cache")].rsplit(".", 1)[0] + "." for i in range(30)]
+    at = [x + " The" + " " * 0 + " very" * ((260 - len(x) - 10) // 5) for x in at]
+    at = [(x + " cache" * 60)[:254].rsplit(" ", 1)[0] for x in at]
+    at = [x + " " + "-" * (259 - len(x) - 6) + " cache" for x in at]
+    assert {len(x) for x in at} == {260}
+    rows = [(i, x, "notes") for i, x in enumerate(open_)] + [(1000 + i, x, "notes") for i, x in enumerate(at)]
+    got = {r.id: r for r in truncation.truncation(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i].truncated for i in range(400))
+    assert all(got[1000 + i].evidence == "limit" for i in range(30))
 
 
 # ------------------------------------------------------------------------------------------------------- queries
