@@ -1,7 +1,8 @@
 """Generated, minified or vendored source files.
 
-A multi-pattern automaton (Aho-Corasick) finds notice phrases in the comments that head a file; a phrase counts only
-where it is the notice itself and not talk about notices. Path rules add vendored directories, output directories,
+A multi-pattern automaton (Aho-Corasick) finds notice phrases in the comments that head a file, and in those that stand
+at the left margin further down, where tools put them above what they write. A phrase counts only where it is the notice
+itself and not talk about notices. Path rules add vendored directories, output directories,
 lockfiles and suffixes. Two shapes of the whole text need no notice: minified code and bulk data.
 """
 
@@ -85,6 +86,35 @@ def header(text: str, name: str) -> list[str]:
     return out
 
 
+MARGIN = {"hash": re.compile(r"#+(?!!)(.*)"), "": re.compile(r"(?://+|/\*+!?|\*+(?!/))(.*)")}
+HEREDOC = re.compile(r"<<-?\s*[\\\"']?(\w+)")
+
+
+def margin_comments(text: str, name: str) -> list[str]:
+    """Comment lines that begin at the left margin, outside quoted blocks (heredocs, triple quotes, template literals)."""
+    hashes = name.endswith((".py", ".pyi", ".sh", ".bash"))
+    script, python = name.endswith((".sh", ".bash")), name.endswith((".py", ".pyi"))
+    pattern, out, quoted, until = MARGIN["hash" if hashes else ""], [], "", ""
+    for line in text.replace("\r", "\n").split("\n"):
+        if until:
+            until = "" if line.strip() == until else until
+            continue
+        m = None if quoted else pattern.match(line)
+        if m:
+            out.append(m[1].removesuffix("*/"))
+        elif script:
+            opened = HEREDOC.search(line)
+            until = opened[1] if opened else ""
+        elif python:
+            for mark in ('"""', "'''"):
+                if quoted in ("", mark) and line.count(mark) % 2:
+                    quoted = "" if quoted else mark
+                    break
+        elif not hashes and name.endswith((".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".go")) and line.count("`") % 2:
+            quoted = "" if quoted else "`"
+    return out
+
+
 def notice(lines: list[str]) -> str | None:
     """"generated" or "vendored" if one of the header's lines is such a notice."""
     for line in lines:
@@ -126,7 +156,7 @@ def shape(text: str, name: str) -> str | None:
         blank = sum(x.count(" ") + x.count("\t") for x in code)
         if code and size / len(code) > 180 and blank / size < 0.05 and size > 300 and sum(x.count(";") + x.count(",") + x.count("{") for x in code) / size > 0.02:
             return "minified"
-    plain = re.sub(r"/\*.*?\*/|(?m:^[ \t]*(?://|#(?!define|include)).*$)", "", body, flags=re.S)
+    plain = re.sub(r"(?m)/\*[\s\S]*?\*/|^[ \t]*(?://|#(?!define|include))[^\n]*$", "", body)
     blobs = sum(len(m) for m in re.findall(r"[A-Za-z0-9+/=_\\-]{120,}", plain) if re.search(r"\d", m) and re.search(r"[A-Z]", m) and re.search(r"[a-z]", m) or re.fullmatch(r"[0-9a-fA-F\\x]+", m))
     solid = len(re.sub(r"\s", "", plain))
     if solid and blobs / solid > 0.85:
@@ -175,7 +205,7 @@ def origin_of(path: str, text: str | None) -> tuple[str | None, str | None, list
     banner = BANNER.match(first)
     if banner:
         libraries.append(banner[1])
-    found = notice(head)
+    found = notice(head) or notice(margin_comments(text, name))
     if found:
         return found, "notice", libraries
     if by_path:
@@ -213,9 +243,10 @@ def file_origins(files: DataFrame, id_col: str = "file_id", file_col: str = "fil
     seen = spread(rows).mapInArrow(run, f"id {kind}, origin string, reason string, libraries array<string>, under string")
     seen = cut(seen)
     known = seen.select(F.explode("libraries").alias("library")).select(F.lower("library").alias("under")).distinct().withColumn("known", F.lit(True))
-    out = seen.join(known, "under", "left")
-    here = F.col("origin").isNull() & F.col("known")
-    return out.select("id", F.when(here, "vendored").otherwise(F.col("origin")).alias("origin"), F.when(here, "path").otherwise(F.col("reason")).alias("reason")).distinct()
+    # only files below such a folder meet the names; the others stay out of the join
+    asks = F.col("origin").isNull() & F.col("under").isNotNull()
+    copies = seen.where(asks).join(known, "under", "left").select("id", F.when(F.col("known"), "vendored").alias("origin"), F.when(F.col("known"), "path").alias("reason"))
+    return copies.unionByName(seen.where(~asks).select("id", "origin", "reason")).distinct()
 
 
 def not_handwritten(files: DataFrame, id_col: str = "file_id", file_col: str = "file", text_col: str = "content") -> DataFrame:

@@ -271,6 +271,23 @@ def test_origins(spark):
     assert provenance.not_handwritten(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("name", "text", "origin"),
+    [
+        ("a.py", "import os\n\nclass A:\n    x = 1\n\n# Code generated by binder. DO NOT EDIT.\n\nclass B:\n    y = 1\n", "generated"),
+        ("a.java", "class A { int x; }\n\n// <auto-generated>\nclass B { int y; }\n", "generated"),
+        ("a.py", "TEXT = \"\"\"\n# Code generated by binder. DO NOT EDIT.\n\"\"\"\n", None),
+        ("a.sh", "cat <<EOT > x.go\n# Code generated by binder. DO NOT EDIT.\nEOT\necho done\n", None),
+        ("a.js", "const a = `\n// Code generated by binder. DO NOT EDIT.\n`;\n", None),
+        ("a.py", "def f():\n    # Generated by the caller, never here\n    return 1\n# Writes the header 'DO NOT EDIT' into it.\n", None),
+        ("a.js", "// Keeps every node.\nconst node = [\n" + "  0x5b, 0x1c, 0x44, 0x9f,\n" * 40 + "];\n", "data"),
+        ("a.c", '/* A table. */\nstatic const char T[] = "' + "Ab3d" * 90 + '";\n', "data"),
+    ],
+)
+def test_notices_further_down_and_data_below_comments(name, text, origin):
+    assert provenance.origin_of(f"repo/src/{name}", text)[0] == origin
+
+
 # ----------------------------------------------------------------------------------------------------- tokenizer
 
 
