@@ -1,8 +1,10 @@
 """Credentials embedded in source code and configuration.
 
-A string is unnatural if a public subword vocabulary needs many tokens for its characters. That score is combined with
-rules on the value's form, the variable's name and the code around it. What is found is masked in the excerpt character
-by character, so that every offset, quote and line stays where it was.
+A string is unnatural if a public subword vocabulary needs many tokens for its characters. That score comes first: what a
+machine made (a key, a token, a header's or an address's credential) must be unnatural, more so the less the scan itself
+trusted the value. Context rules then decide: the variable's name, the names in the excerpt, the call around the value,
+its form. Only a password chosen by a person may look natural, and then its name or place must call it one. What is found
+is masked in the excerpt character by character, so that every offset, quote and line stays where it was.
 """
 
 from __future__ import annotations
@@ -22,6 +24,11 @@ from quarrylens.session import spread
 #: Fewer characters per subword than this make a string unnatural; random letters and digits have about 1.5 to 2.2.
 UNNATURAL = 2.5
 
+#: How far a scan's confidence moves that limit: below 0.3 and from 0.7 on.
+DOUBTED, TRUSTED = -0.3, 0.3
+
+#: Names of passwords, which people choose and which may therefore look natural.
+PASSWORD_WORDS = re.compile(r"pass|pwd?(?:$|_)|pw$|kennwort|zugangsdaten|clave|contrase|mot_?de|senha|wachtwoord|credential|creds?(?:$|_)|secret")
 #: Words for secrets in variable names, and words that make such a name mean something else.
 SECRET_WORDS = re.compile(
     r"passw(?:or)?d|passwort|passphrase|passwd|(?:^|_)pass(?:$|_)|(?:^|_)pwd?(?:$|_)|rootpw|pw$|pass$|storepass|keypass|secret|token|api_?key|access_?key|auth_?key|private_?key|signing_?key|encryption_?key|hmac_?key|master_?key"
@@ -115,6 +122,13 @@ def readable(text: str) -> bool:
     return len(raw) > 6 and sum(32 <= b < 127 for b in raw) / len(raw) > 0.95
 
 
+def unnatural(text: str, confidence: float | None, bpe: Bpe, limit: float = UNNATURAL) -> bool:
+    """Whether a string needs more subwords than natural text of its length; an unknown confidence (null, -1) moves nothing."""
+    if confidence is not None and confidence >= 0:
+        limit += DOUBTED if confidence < 0.3 else TRUSTED if confidence >= 0.7 else 0.0
+    return bpe.chars_per_token(text) < limit
+
+
 def surroundings(value: str, context: str | None) -> tuple[list[str], bool]:
     """Names that ``value`` is assigned to in its excerpt, and whether it is handed to a login call, over all its occurrences."""
     names, called, at = [], False, (context or "").find(value)
@@ -140,8 +154,7 @@ def random_value(text: str, name: str, confidence: float | None, bpe: Bpe) -> bo
         return False
     if readable(text) or re.fullmatch(r"[a-z]+(?:[-_./:][a-z]+|[-_./:]?\d+)*", text):
         return False
-    low = confidence is not None and 0 <= confidence < 0.3
-    return bpe.chars_per_token(text) < UNNATURAL - (0.8 if low else 0.3)
+    return unnatural(text, confidence, bpe, UNNATURAL - 0.4)
 
 
 def secret_parts(value: str | None, variable: str | None, confidence: float | None, context: str | None, bpe: Bpe) -> list[str]:
@@ -149,47 +162,48 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
     if not value or not value.strip():
         return []
     text = value.strip()
-    parts = [m[1].strip("\n") for m in PEM.finditer(text) if usable_key(m[1])]
+    parts = [m[1].strip("\n") for m in PEM.finditer(text) if usable_key(m[1]) and unnatural(m[1], confidence, bpe)]
     rest = PEM.sub(";", text)
     keyed, text = rest != text, rest
     for pattern in (JWT, PREFIXED):
-        parts += [m[0] for m in pattern.finditer(text) if not placeholder(re.sub(r"^[A-Za-z_]+[-_.]", "", m[0]))]
+        parts += [m[0] for m in pattern.finditer(text) if not placeholder(re.sub(r"^[A-Za-z_]+[-_.]", "", m[0])) and unnatural(m[0], confidence, bpe, UNNATURAL + 0.5)]
     for m in URL_LOGIN.finditer(text):
         if not placeholder(m[1]) and not m[1].isupper():
             parts.append(m[1])
     for m in URL_PARAM.finditer(text):
-        if not placeholder(m[1]) and (bpe.chars_per_token(m[1]) < UNNATURAL + 0.5 and re.search(r"\d", m[1]) or len(m[1]) > 24):
+        if not placeholder(m[1]) and unnatural(m[1], confidence, bpe, UNNATURAL + 0.5):
             parts.append(m[1])
     if "://" in text:
         # the name is evidence enough, whatever the value looks like
         parts += [m[1] for m in URL_PASSWORD.finditer(text) if not placeholder(m[1]) and not PATTERN.search(m[1])]
     for m in HOOK.finditer(text):
-        if re.search(r"\d", m[1]) and not placeholder(m[1]) and bpe.chars_per_token(m[1]) < UNNATURAL:
+        if re.search(r"\d", m[1]) and not placeholder(m[1]) and unnatural(m[1], confidence, bpe):
             parts.append(m[1])
     for m in HEADER.finditer(text):
         token = m[2]
         if placeholder(token) or PATTERN.search(text):
             continue
-        if m[1].lower() == "basic" and not re.search(r"[0-9+/=]", token) or m[1].lower() != "basic" and not re.search(r"\d", token):
-            continue
-        parts.append(token)
+        if unnatural(token, confidence, bpe):
+            parts.append(token)
     # an address in front has had its own rules; what follows it is read like any other text
     first = text.split(None, 1)[0]
     plain = text[len(first) :] if "://" in first.split("=")[0] else text
     if not PATTERN.search(plain):
         for m in FLAG.finditer(plain):
             part = m[1] or m[2] or m[3]
-            if part and not placeholder(part) and (m[3] is None or re.search(r"\d", part)):
+            chosen = m[3] is None and (m[2] or re.search(r"pass|pwd|pw|secret", m[0][: m.start(1) - m.start()], re.I))
+            if part and not placeholder(part) and (chosen or unnatural(part, confidence, bpe)):
                 parts.append(part)
         for m in ASSIGNED.finditer(plain):
             part = m[1]
             joined = re.search(r"[=:]\s*[\"']?$", plain[: m.start(1)])
-            if joined and not placeholder(part) and (re.search(r"\d|[^\w]", part) or bpe.chars_per_token(part) < UNNATURAL) and not HARMLESS.search(part):
+            chosen = re.search(r"\d|[^\w]", part) and PASSWORD_WORDS.search(name_of(plain[m.start() : m.start(1)]))
+            if joined and not placeholder(part) and not HARMLESS.search(part) and (chosen or unnatural(part, confidence, bpe)):
                 parts.append(part)
     if parts or keyed:
         return list(dict.fromkeys(parts))
 
-    # a bare value: what it is called and where it stands decides
+    # a bare value: its score, then what it is called and where it stands
     if placeholder(text) or HARMLESS.search(text) or PATTERN.search(text) and " " in text or "\n" in text:
         return []
     name = name_of(variable)
@@ -197,8 +211,11 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
     listed = lambda n: bool(SECRET_WORDS.search(n)) and not OTHER_WORDS.search(n)
     if not listed(name) and not OTHER_WORDS.search(name):
         name = next((n for n in assigned if listed(n)), name or next(iter(assigned), ""))
+    made = unnatural(text, confidence, bpe)
     if not (listed(name) or called):
-        return [text] if random_value(text, name, confidence, bpe) else []
+        return [text] if made and random_value(text, name, confidence, bpe) else []
+    if not made and not called and not PASSWORD_WORDS.search(name):
+        return []
     if UUID.search(text) and not re.search(r"key|token|secret", name):
         return []
     words = text.split()
@@ -221,24 +238,38 @@ def secret_parts(value: str | None, variable: str | None, confidence: float | No
     return [text]
 
 
-def masked(context: str | None, parts: list[str]) -> str | None:
-    """The excerpt with every occurrence of the parts masked, each character by one "*"; line ends and escapes stay."""
+def masked(context: str | None, parts: list[str], value: str = "") -> str | None:
+    """The excerpt with the parts masked, each character by one "*"; line ends and escapes stay.
+
+    A part is masked wherever it stands in the value's own places, and elsewhere only where it isn't a piece of a longer word.
+    """
     if context is None or not parts:
         return context
     out = list(context)
+
+    def apart(at: int, end: int) -> bool:
+        edge = context[at - 1 : at + 1] if at else "", context[end - 1 : end + 1]
+        return not any(len(x) == 2 and re.fullmatch(r"\w\w", x) for x in edge)
+
+    own = [m.span() for m in re.finditer(re.escape(value), context)] if value else []
+    own = [x for x in own if apart(*x)] or own
     for part in sorted(parts, key=len, reverse=True):
         at = context.find(part)
         while at >= 0:
+            end = at + len(part)
+            if not apart(at, end) and not any(a <= at and end <= b for a, b in own):
+                at = context.find(part, at + 1)
+                continue
             i = at
-            while i < at + len(part):
+            while i < end:
                 if context[i] in "\r\n":
                     i += 1
-                elif context.startswith("\\n", i) and i + 1 < at + len(part) and "PRIVATE KEY" in context:
+                elif context.startswith("\\n", i) and i + 1 < end and "PRIVATE KEY" in context:
                     i += 2
                 else:
                     out[i] = "*"
                     i += 1
-            at = context.find(part, at + len(part))
+            at = context.find(part, end)
     return "".join(out)
 
 
@@ -262,7 +293,7 @@ def credentials(
                 if parts:
                     ids.append(i)
                     secrets.append(parts)
-                    redacted.append(masked(context, parts))
+                    redacted.append(masked(context, parts, value.strip()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(secrets, pa.list_(pa.string())), pa.array(redacted, pa.string())], ["id", "secrets", "redacted"])
 
     kind = values.schema[id_col].dataType.simpleString()

@@ -132,6 +132,26 @@ def test_groups_of_nothing_and_of_dirt(spark):
     assert groups.clone_groups(df.limit(0)).count() == 0
 
 
+def test_the_score_decides_what_machines_made():
+    bpe_ = bpe.vocabulary(bpe.vocabulary_bytes())
+    parts = lambda value, name, score=None: secrets.secret_parts(value, name, score, f'{name} = "{value}"', bpe_)
+    assert secrets.unnatural("gX9vQ2mLr7TzKp4W", None, bpe_) and not secrets.unnatural("the cache refresh interval", None, bpe_)
+    assert parts("gX9vQ2mLr7TzKp4W", "api_key") and not parts("primary replica cache2", "api_key")
+    # a person's password may look natural, a token may not
+    assert parts("marlincache1987", "db_password") and not parts("marlincache1987", "access_token")
+    assert parts("Bearer gX9vQ2mLr7TzKp4WgX9", "extra") and not parts("Bearer authentication7required", "extra")
+    # an unknown confidence moves nothing
+    assert parts("gX9vQ2mLr7TzKp4W", "api_key", -1.0) == parts("gX9vQ2mLr7TzKp4W", "api_key", None)
+
+
+def test_masks_end_at_word_borders():
+    context = 'pw = "lamp7"  # lamp7 again\nlamp7_count = xlamp7 + 1'
+    assert secrets.masked(context, ["lamp7"], "lamp7") == 'pw = "*****"  # ***** again\nlamp7_count = xlamp7 + 1'
+    context = 'u = "db://a:lamp7@h"  # lamp7, not lamp7_count or xlamp7'
+    assert secrets.masked(context, ["lamp7"], "db://a:lamp7@h") == 'u = "db://a:*****@h"  # *****, not lamp7_count or xlamp7'
+    assert secrets.masked(None, ["x"], "x") is None and secrets.masked("a", [], "") == "a"
+
+
 # ---------------------------------------------------------------------------------------------------- neighbours
 
 
