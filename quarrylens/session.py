@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names of this run's states in the shared folder.
+_RUN, _STATES = f"quarrylens-{uuid.uuid4().hex}", itertools.count()
+_LOCAL: str | None = None
+
 #: Settings a local run starts with; a cluster brings its own.
 LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,7 +25,6 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -32,26 +39,40 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset, as in tests, take a local one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarrylens-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see; only a local master may do without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    global _LOCAL
+    if _LOCAL is None:
+        folder = tempfile.mkdtemp(prefix="quarrylens-states-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL = Path(folder).as_uri()
+    return _LOCAL
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Materialise ``frame`` in the shared checkpoint folder, so that lost executors don't restart a loop.
+    """Write ``frame`` as a table in the shared folder and read it back, so that lost executors don't restart a loop.
 
-    The result's plan starts anew: a checkpoint alone keeps the constraints inferred so far, which multiply from step to
-    step of a loop until the driver's memory is full.
+    The result's plan starts anew: neither lineage nor the constraints inferred so far grow from step to step.
     """
     spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = frame.checkpoint(eager=True)
-    rows = kept._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    path = f"{shared_folder(spark)}/{_RUN}/{next(_STATES)}"
+    frame.write.parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._quarrylens_state = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Free the space of states that a loop has superseded; nothing may read them any more."""
+    for frame in frames:
+        path = getattr(frame, "_quarrylens_state", None)
+        if path:
+            frame.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -60,7 +81,7 @@ def spread(rows: DataFrame) -> DataFrame:
     For work that costs much more CPU than moving its rows: a table in one small file would otherwise be one task.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def ship(spark: SparkSession) -> None:
