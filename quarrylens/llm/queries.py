@@ -42,6 +42,10 @@ def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
     return syntax.invalid_rates(read_table(spark, sf, "file_analysis"), ["repo"])
 
 
+def p4_package_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.invalid_rates(read_table(spark, sf, "file_analysis"), ["repo", "package"])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.not_handwritten(read_table(spark, sf, "file_analysis"))
 
@@ -88,7 +92,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p2_found, p2_sizes, p3_found, p4_found, p4_rates, p5_found, p5_origins, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_limits, p8_rates)
+    for f in (p1_found, p1_redacted, p2_found, p2_sizes, p3_found, p4_found, p4_rates, p4_package_rates, p5_found, p5_origins, p6_ids, p6_roundtrip, p7_mix, p7_shares, p8_found, p8_limits, p8_rates)
 }
 
 _GROUPS = r"""

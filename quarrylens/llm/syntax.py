@@ -9,7 +9,9 @@ executed or compiled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+import threading
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -1066,14 +1068,46 @@ def shell_check(text: str) -> None:
 CHECKS = {"python": python_check, "bash": shell_check} | {x: (lambda text, x=x: brace_check(x, text)) for x in LEX}
 
 
+#: Levels of nesting and bytes of stack for files that exceed the interpreter's usual recursion.
+DEEPEST, STACK = 200_000, 512 << 20
+
+
+def deep(check: Callable[[str], None], text: str) -> None:
+    """``check`` on a thread with a large stack; what is nested deeper still isn't judged."""
+    result: list[Broken] = []
+
+    def run() -> None:
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(DEEPEST)
+        try:
+            check(text)
+        except Broken as x:
+            result.append(x)
+        except RecursionError:
+            pass
+        finally:
+            sys.setrecursionlimit(before)
+
+    size = threading.stack_size(STACK)
+    try:
+        thread = threading.Thread(target=run)
+        thread.start()
+    finally:
+        threading.stack_size(size)
+    thread.join()
+    if result:
+        raise result[0]
+
+
 def syntax_fault(lang: str, text: str) -> tuple[str, int] | None:
     """What keeps ``text`` from being ``lang`` and on which line; None if nothing was found."""
     try:
-        CHECKS[lang](text)
+        try:
+            CHECKS[lang](text)
+        except RecursionError:
+            deep(CHECKS[lang], text)
     except Broken as x:
         return x.kind, x.line
-    except RecursionError:
-        return "nested too deeply", 0
     return None
 
 
@@ -1111,8 +1145,12 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", file_col: str = "fi
 
 
 def invalid_rates(files: DataFrame, by: list[str], id_col: str = "file_id", file_col: str = "file", text_col: str = "content") -> DataFrame:
-    """Per value of ``by`` and language: files checked, files that do not parse and their rate."""
-    keys = [F.coalesce(F.col(x), F.lit("")).alias(f"key_{i}") for i, x in enumerate(by)]
+    """Per value of ``by`` and language: files checked, files that do not parse and their rate.
+
+    A null repository is read from the path, which begins with it; other nulls are one group, the empty string.
+    """
+    known = {"repo": F.coalesce("repo", F.split_part(file_col, F.lit("/"), F.lit(1)))} if "repo" in files.columns else {}
+    keys = [F.coalesce(known.get(x, F.col(x)), F.lit("")).alias(f"key_{i}") for i, x in enumerate(by)]
     groups = files.select(F.col(id_col).alias("id"), *keys).dropDuplicates(["id"])
     faults = syntax_faults(files, id_col, file_col, text_col).groupBy("id", "lang").agg(F.max(F.col("fault").isNotNull()).alias("broken"))
     out = groups.join(faults, "id").groupBy(*[f"key_{i}" for i in range(len(by))], "lang")

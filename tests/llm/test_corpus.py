@@ -231,6 +231,13 @@ def test_neighbours_over_many_blocks(spark, monkeypatch):
 
 # -------------------------------------------------------------------------------------------------------- syntax
 
+
+def test_deep_nesting_is_no_fault():
+    deep = "if true; then\n" * 3000
+    assert syntax.syntax_fault("bash", deep + "echo a\n" + "fi\n" * 3000) is None
+    assert syntax.syntax_fault("bash", deep + "echo a\n" + "fi\n" * 2999) is not None
+
+
 GOOD = {
     "python": ["", "x = 1\n", "def f(a, *b, c=1, **d):\n    return [i for i in a if i]\n", "try:\n    pass\nexcept (A, B) as e:\n    raise X from e\nelse:\n    y = '''<<<<<<< a\n{'''\n", "if a: b = 1; c = lambda x: x\n", "match x:\n    case 1:\n        pass\n", "@d\nasync def f():\n    async with a as b, c:\n        await g\n", "x = (1,\n  2)\n# it's (\n", "a = b if c else d\nprint(f'{a!r:>{w}}')\n", "x: int = 3\ny = a[1:2, ::3]\nz = not a is not b\n", "from . import (a,\n  b)\n"],
     "javascript": ["", "const { a } = require('./b');\nlet r = x.replace(/[({]+\\d*/g, '{');\n", "import a, { b as c } from 'd';\nexport default class A extends B { get x() { return 1 } static async y() {} }\n", "`a ${b ? `c ${d}` : '}'} {`\n", "!function(n){var t=n?[1,2]:{a:1};return t}(this)", "foo()\nbar()\nfor (const a of b) c(a);\n", "async function f() { await g(); }\nconst h = async (x) => { try { x?.y ?? z } catch { } };\n// it's {\n", "x = a / b / c; y = {k: 1, [l]: 2, m() {}, ...n};\n"],
