@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.operators.graph import closure, cycles
+from quarrylens.operators.graph import cycles
 
 
 def newest(files: DataFrame, key: str = "file_id", order: str = "ingested_at") -> DataFrame:
@@ -79,12 +79,12 @@ def function_imports(files: DataFrame, top: int = 3) -> DataFrame:
 
 def package_cycles(imports: DataFrame) -> DataFrame:
     """``(cycle, packages, members)`` of import cycles, named by their smallest package."""
-    found = cycles(closure(imports))
+    found = cycles(imports)
     return found.groupBy("cycle").agg(F.count(F.lit(1)).alias("packages"), F.sort_array(F.collect_list("node")).alias("members")).where("packages > 1")
 
 
 def cycle_imports(imports: DataFrame) -> DataFrame:
     """Imports with both ends in the same cycle."""
-    found = cycles(closure(imports))
+    found = cycles(imports)
     a, b = found.toDF("src", "ca"), found.toDF("dst", "cb")
     return imports.join(a, "src").join(b, "dst").where("ca = cb").drop("cb").withColumnRenamed("ca", "cycle")

@@ -64,9 +64,6 @@ def repo_edges_sql(least: int = 1) -> str:
     return PAIRS + f", edges as (select split_part(file_a, '/', 1) as src, split_part(file_b, '/', 1) as dst, cast(count(*) as double) as weight from pairs group by 1, 2 having split_part(file_a, '/', 1) <> split_part(file_b, '/', 1) and count(*) >= {least})"
 
 
-#: Edges between repositories that the reachability queries keep; the whole graph is one strongly connected piece.
-HEAVY = 3
-
 NODES = ", nodes as (select distinct unnest([src, dst]) as node from edges)"
 WORDS = r"list_filter(string_split_regex(regexp_replace(lower(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]', ' ', 'g'), ' +'), lambda t: length(t) >= 2)"
 

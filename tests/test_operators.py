@@ -15,9 +15,40 @@ def test_closure_has_self_pairs_of_cycles(spark):
     pairs = {(r.src, r.dst) for r in found.collect()}
     assert ("a", "a") in pairs and ("d", "d") not in pairs and ("a", "d") in pairs and len(pairs) == 12
     assert {r.node: r.cycle for r in graph.cycles(found).collect()} == {"a": "a", "b": "a", "c": "a"}
+    assert graph.cycles(found.limit(0)).count() == 0
     assert graph.closure(found, 1).count() == 12
 
 
+@pytest.mark.parametrize("alone", [0, 1000])
+def test_components_and_reach_against_brute_force(spark, alone, monkeypatch):
+    import random
+
+    monkeypatch.setattr(graph.strong_components, "__defaults__", (alone,))
+    random.seed(11)
+    names = [f"n{i:02}" for i in range(30)]
+    pairs = sorted({(random.choice(names), random.choice(names)) for _ in range(42)})
+    reach = {(a, b) for a, b in pairs}
+    while True:
+        more = {(a, d) for a, b in reach for c, d in pairs if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    want = {a: min(b for b in names if (a, b) in reach and (b, a) in reach) for a in names if (a, a) in reach}
+    e = edges(spark, *[(a, b, 1) for a, b in pairs])
+    assert {r.node: r.cycle for r in graph.cycles(e).collect()} == want
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    condensed = graph.condense(e, nodes)
+    assert graph.propagation(e, nodes, condensed).first().reachable == len(reach)
+    below = {r.node: r.descendants for r in graph.descendants(condensed).collect()}
+    assert below == {a: n for a in names if (n := sum((a, b) in reach for b in names if a != b))}
+    modules = nodes.withColumn("module", F.substring("node", 1, 2))
+    inside = {r.module: r.internal for r in graph.module_coupling(e, modules, condensed).collect()}
+    for m in ("n0", "n1", "n2"):
+        held = [x for x in names if x.startswith(m)]
+        assert inside[m] == pytest.approx(sum((a, b) in reach for a in held for b in held) / (10 * 9))
+    assert graph.propagation(e, nodes, None).first().status == "APPROXIMATE"
+
+
 def test_closure_of_nothing(spark):
     assert graph.closure(edges(spark).limit(0)).count() == 0
 
@@ -70,8 +101,6 @@ def test_betweenness_against_all_paths(spark):
     e = edges(spark, *rows)
     got = {r.node: r.betweenness for r in graph.betweenness(e, spark.createDataFrame([(x,) for x in names], "node string")).collect()}
     assert got == pytest.approx({k: v / 6 for k, v in want.items()})
-    with pytest.raises(ValueError):
-        graph.betweenness(e, e.select(F.col("src").alias("node")), most_edges=2)
 
 
 def test_upstream_hides_but_passes(spark):
