@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.functions.text import cosine
+from quarrylens.session import cut
 
 
 def function_lines(functions: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,17 +70,75 @@ def syntactic(functions: DataFrame, id_col: str, text_col: str, line_least: floa
     return out.select("a", "b", share.alias("share"), "matched", "total", "max_block", category.alias("category"))
 
 
-def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, least: float, within: str | None = None) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs with that cosine.
+#: Pivots of the similarity join, and rows of a task's share of a cell.
+PIVOTS, SHARE = 256, 8192
+
+
+def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, least: float, pivots: int = PIVOTS) -> DataFrame:
+    """``(a, b, similarity, copies_a, copies_b)`` of all pairs of different unit vectors with that cosine, a < b.
 
-    Exact, by a join of all pairs of one ``within`` group (label, module), or of all vectors without a group; pairs
-    across groups don't come out, and large groups don't scale.
+    Equal vectors are one row, named by their smallest id and counted. Every vector belongs to the cell of its nearest
+    pivot and visits the cells that can hold a partner: by the triangle inequality on angles, those whose pivot is no
+    further from it than the cell's radius and the threshold's angle together. So nothing is lost, and how much meets
+    depends on the threshold. The pivots are the vectors with the smallest hashes. Null vectors, and those of another
+    dimension than the first pivot, don't come out.
     """
-    key = F.col(within) if within else F.lit(0)
-    left = vectors.select(F.col(id_col).alias("a"), key.alias("k"), F.col(vector_col).alias("va"))
-    right = vectors.select(F.col(id_col).alias("b"), key.alias("k"), F.col(vector_col).alias("vb"))
-    scored = left.join(right, "k").where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+    spark, kind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString()
+    base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = cut(base.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    schema = f"a {kind}, b {kind}, similarity double, copies_a bigint, copies_b bigint"
+    chosen = [r.v for r in base.orderBy(F.xxhash64("id")).limit(pivots).select("v").collect()]
+    chosen = [v for v in chosen if len(v) == len(chosen[0])]
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    table, reach, dims = np.array(chosen), float(np.arccos(np.clip(least, -1, 1))), len(chosen[0])
+
+    def angles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.flatnonzero(batch.column("v").value_lengths().to_numpy(zero_copy_only=False) == dims)
+        flat = batch.column("v").take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        return whole, np.arccos(np.clip(flat @ table.T, -1, 1))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, far = angles(batch)
+            home = far.argmin(axis=1) if len(whole) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(whole)).columns, pa.array(home.astype(np.int32)), pa.array(far[np.arange(len(whole)), home])], ["v", "id", "copies", "cell", "far"])
+
+    owners = cut(base.mapInArrow(nearest, f"v array<double>, id {kind}, copies bigint, cell int, far double"))
+    radius = np.full(len(chosen), -np.inf)
+    shares = np.ones(len(chosen), int)
+    for r in owners.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+        radius[r.cell], shares[r.cell] = r.far, -(-r.n // SHARE)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, far = angles(batch)
+            at, cell = np.nonzero(far <= radius[None, :] + reach + 1e-9)
+            times = shares[cell]
+            at, cell = np.repeat(at, times), np.repeat(cell, times)
+            share = np.concatenate([np.arange(n) for n in times]) if len(times) else np.zeros(0, int)
+            rows = batch.take(pa.array(whole[at]))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(cell.astype(np.int32)), pa.array(share.astype(np.int32)), pa.array(np.zeros(len(at), bool))], ["v", "id", "copies", "cell", "share", "own"])
+
+    visitors = owners.mapInArrow(visits, f"v array<double>, id {kind}, copies bigint, cell int, share int, own boolean")
+    split = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(shares)], "cell int, shares int"))
+    mine = owners.join(split, "cell").select("v", "id", "copies", "cell", F.pmod(F.xxhash64("id"), "shares").cast("int").alias("share"), F.lit(True).alias("own"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        own = rows.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        ids, copies = rows.column("id").to_numpy(zero_copy_only=False), rows.column("copies").to_numpy(zero_copy_only=False)
+        points = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        o, w = np.flatnonzero(own), np.flatnonzero(~own)
+        found = []
+        for i in range(0, len(o), 1024):
+            part = o[i : i + 1024]
+            close = points[part] @ points[w].T
+            x, y = np.nonzero((close >= least) & (ids[part][:, None] < ids[w][None, :]))
+            found.append((part[x], w[y], close[x, y]))
+        x, y, c = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(3))
+        return pa.Table.from_arrays([pa.array(ids[x], rows.schema.field("id").type), pa.array(ids[y], rows.schema.field("id").type), pa.array(c, pa.float64()), pa.array(copies[x]), pa.array(copies[y])], ["a", "b", "similarity", "copies_a", "copies_b"])
+
+    return mine.unionByName(visitors).groupBy("cell", "share").applyInArrow(meet, schema)
 
 
 def combined_score(semantic: Column, syntactic_: Column, block: Column, ws: float = 0.65, wy: float = 0.35) -> Column:
@@ -86,6 +148,10 @@ def combined_score(semantic: Column, syntactic_: Column, block: Column, ws: floa
     return F.least(F.lit(1.0), F.when((s <= 0) & (y <= 0), 0.0).otherwise(mean + F.when(F.coalesce(block, F.lit(0)) >= 5, 0.03).otherwise(0.0)))
 
 
+#: Categories of pairs from the closest on.
+CATEGORIES = ["EXACT", "NEAR", "SEMANTIC-STRUCTURAL", "STRUCTURAL", "SEMANTIC", "PARTIAL"]
+
+
 def combined_category(semantic: Column, syntactic_: Column, block: Column) -> Column:
     s, y, b = F.coalesce(semantic, F.lit(0.0)), F.coalesce(syntactic_, F.lit(0.0)), F.coalesce(block, F.lit(0))
     return (
@@ -101,8 +167,21 @@ def combine(by_vector: DataFrame, by_line: DataFrame) -> DataFrame:
     return both.select("a", "b", "similarity", "share", combined_score(*args).alias("score"), combined_category(*args).alias("category"))
 
 
-def suggested_action(category: Column, same_file: Column) -> Column:
-    return F.when(category == "EXACT", F.when(same_file, "delete one copy").otherwise("move to a shared module")).when(category.isin("NEAR", "SEMANTIC-STRUCTURAL"), "merge with parameters").when(category == "STRUCTURAL", "extract the common part").otherwise("review together")
+#: What is suggested, and the scores it takes.
+CONSOLIDATE, ALIKE, OTHER_LINES, SAME_LINES = 0.95, 0.95, 0.50, 0.70
+
+
+def suggested_action(name_a: Column, name_b: Column, file_a: Column, file_b: Column, score: Column, semantic: Column, syntactic_: Column) -> Column:
+    """The first that holds: equal names in two files, one file, a high combined score, like meaning in other lines, like lines."""
+    s, y = F.coalesce(semantic, F.lit(0.0)), F.coalesce(syntactic_, F.lit(0.0))
+    return (
+        F.when((name_a == name_b) & (file_a != file_b), F.concat(F.lit("EXTRACT: Move '"), name_a, F.lit("' to shared utility module")))
+        .when(file_a == file_b, "MERGE: Combine into single parameterized function")
+        .when(score >= CONSOLIDATE, "CONSOLIDATE: High semantic and structural overlap")
+        .when((s >= ALIKE) & (y < OTHER_LINES), "REVIEW: Similar behavior, different implementation")
+        .when(y >= SAME_LINES, "CONSOLIDATE: High line-by-line overlap")
+        .otherwise("REVIEW: Consider if these should be unified")
+    )
 
 
 def intentional(pairs: DataFrame) -> Column:
@@ -125,6 +204,11 @@ def intentional(pairs: DataFrame) -> Column:
     )
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names, less the share of characters that differ."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))
+
+
 def nested(file_a: Column, first_a: Column, last_a: Column, file_b: Column, first_b: Column, last_b: Column) -> Column:
     """One range holds the other in the same file."""
     return (file_a == file_b) & (((first_a <= first_b) & (last_a >= last_b)) | ((first_b <= first_a) & (last_b >= last_a)))

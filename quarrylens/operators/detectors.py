@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.text import cosine, preview, tier
+from quarrylens.session import cut
 
 
 def unreferenced(entities: DataFrame, edges: DataFrame, used_names: DataFrame | None = None, least: float = 0.5, min_lines: int = 3, private_too: bool = False) -> DataFrame:
@@ -45,37 +46,44 @@ def parameter_pairs(params: DataFrame, least: int = 3) -> DataFrame:
     return left.join(right, "node").where("p < q").groupBy("p", "q").agg(F.count(F.lit(1)).alias("functions")).where(F.col("functions") >= least)
 
 
-def parameter_groups(params: DataFrame, least: int = 3, most_pairs: int = 10_000) -> list[tuple[list[str], int]]:
+def parameter_groups(params: DataFrame, least: int = 3) -> list[tuple[list[str], int]]:
     """Groups of parameters that travel together with their number of functions, best first by size * count.
 
     The most frequent pair (ties by name) grows by every parameter, in order of name, with which the group still has
-    ``least`` functions; pairs inside a group are then done. Counting runs in Spark; the driver holds frequent pairs only
-    and asks for a higher ``least`` beyond ``most_pairs``.
+    ``least`` functions; pairs inside a group are then done. Functions with equal parameters are one row with a count, and
+    pairs stay in Spark: the driver holds only the groups found. Each group costs a few jobs, so ``least`` should be high
+    where groups are many.
     """
     base = params.select("node", "param").distinct()
-    found = parameter_pairs(params, least).orderBy(F.desc("functions"), "p", "q").limit(most_pairs + 1).collect()
-    if len(found) > most_pairs:
-        raise ValueError(f"more than {most_pairs} frequent pairs; raise the least number of functions")
-    names = sorted({x for r in found for x in (r.p, r.q)})
-    waiting = {(r.p, r.q): r.functions for r in found}
+    pairs = cut(parameter_pairs(base, least))
+    names = pairs.select(F.explode(F.array("p", "q")).alias("param")).distinct()
+    sets = base.join(names, "param").groupBy("node").agg(F.sort_array(F.collect_set("param")).alias("set"))
+    sets = cut(sets.where(F.size("set") >= 2).groupBy("set").agg(F.count(F.lit(1)).alias("c")))
+
+    def both_in(group: list[str]) -> Column:
+        return F.col("p").isin(group) & F.col("q").isin(group)
+
     groups: dict[tuple[str, ...], int] = {}
-    while waiting:
-        seed = min(waiting, key=lambda x: (-waiting[x], x))
-        group, count, grew = list(seed), waiting[seed], True
-        while grew:
-            grew, after = False, ""
-            while True:
-                holders = base.where(F.col("param").isin(group)).groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == len(group)).select("node")
-                fits = base.join(holders, "node").where(F.col("param").isin([x for x in names if x not in group and x > after] or [""]))
-                row = fits.groupBy("param").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).orderBy("param").first()
-                if row is None:
-                    break
-                group.append(row.param)
-                count, after, grew = row.c, row.param, True
-        if waiting[seed] > count:
-            groups.setdefault(tuple(sorted(seed)), waiting[seed])
+    waiting, rounds = pairs, 0
+    while True:
+        seed = waiting.orderBy(F.desc("functions"), "p", "q").first()
+        if seed is None:
+            break
+        group, count, after = [seed.p, seed.q], seed.functions, ""
+        while True:
+            holders = sets.where(F.size(F.array_except(F.array(*map(F.lit, group)), "set")) == 0)
+            fits = holders.select(F.explode("set").alias("param"), "c").where(~F.col("param").isin(group)).groupBy("param").agg(F.sum("c").alias("c"))
+            fits = fits.where(F.col("c") >= least).orderBy((F.col("param") <= after).cast("int"), "param").first()
+            if fits is None:
+                break
+            group.append(fits.param)
+            count, after = fits.c, fits.param
+        if seed.functions > count:
+            groups.setdefault(tuple(sorted((seed.p, seed.q))), seed.functions)
         groups.setdefault(tuple(sorted(group)), count)
-        waiting = {k: v for k, v in waiting.items() if not set(k) <= set(group)}
+        waiting, rounds = waiting.where(~both_in(group)), rounds + 1
+        if rounds % 10 == 0:
+            waiting = cut(waiting)
     return sorted(((list(k), v) for k, v in groups.items()), key=lambda x: (-len(x[0]) * x[1], -len(x[0]), x[0]))
 
 

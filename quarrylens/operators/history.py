@@ -69,9 +69,12 @@ def filtered(commits: DataFrame, author: str | None = None, since: str | None =
     return commits
 
 
-def blame_summary(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``(node, commits, newest, oldest)`` of the commits on the lines of ``ranges(node, file, first, last)``; ``lines(file, line, commit, time)``."""
-    held = ranges.join(lines, "file").where("line between first and last")
+def blame_summary(marks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(node, commits, newest, oldest)`` of the commits on the lines of ``ranges(node, file, first, last)``.
+
+    ``marks(file, start, upto, commit, time)`` are lines of one commit; a range costs one row, whatever its length.
+    """
+    held = ranges.join(marks, "file").where("start <= last and upto >= first")
     return held.groupBy("node").agg(F.countDistinct("commit").alias("commits"), F.max_by("commit", F.struct("time", "commit")).alias("newest"), F.min_by("commit", F.struct("time", "commit")).alias("oldest"))
 
 

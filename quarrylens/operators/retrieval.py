@@ -58,10 +58,25 @@ def static_idf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(idf, "term").groupBy("doc").agg(F.sum("idf").alias("score"))
 
 
-def semantic(vectors: DataFrame, id_col: str, vector_col: str, query: DataFrame, above: float = 0.1) -> DataFrame:
-    """``(query, id, cosine)`` above the cut-off; ``query(query, vector)`` holds a few rows."""
-    asked = F.broadcast(query.select("query", F.col("vector").alias("q")))
-    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(asked, F.size("v") == F.size("q"))
+#: Query vectors up to this many numbers (some 64 MB) are broadcast; more meet the vectors in blocks.
+BROADCAST_NUMBERS = 8_000_000
+#: Vectors of a block.
+BLOCK = 8192
+
+
+def semantic(vectors: DataFrame, id_col: str, vector_col: str, query: DataFrame, above: float = 0.1, most_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """``(query, id, cosine)`` above the cut-off; ``query(query, vector)``. Null vectors and other dimensions don't match."""
+    asked = query.where("vector is not null").select("query", F.col("vector").alias("q"))
+    stored = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    numbers = asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0)), F.count(F.lit(1))).first()
+    if numbers[0] <= most_numbers:
+        scored = stored.join(F.broadcast(asked), F.size("v") == F.size("q"))
+    else:
+        # every block of queries meets every block of vectors: each side is sent once per block of the other
+        m, n = -(-numbers[1] // BLOCK), -(-stored.count() // BLOCK)
+        a = asked.withColumn("m", F.pmod(F.xxhash64("query"), F.lit(m))).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
+        b = stored.withColumn("n", F.pmod(F.xxhash64("id"), F.lit(max(1, n)))).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        scored = b.join(a, ["m", "n"]).where(F.size("v") == F.size("q"))
     return scored.select("query", "id", cosine(F.col("v"), F.col("q")).alias("cosine")).where(F.col("cosine") > above)
 
 
@@ -80,8 +95,12 @@ def fuse(signals: DataFrame, weights: dict[str, float], penalties: DataFrame | N
     for tests, 5 for methods in maps. Nodes of ``semantic_weak(node)`` keep 0.4 of their score.
     """
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    rank = F.rank().over(Window.partitionBy("signal").orderBy(F.desc("score"))) - 1
-    ranked = signals.withColumn("w", F.try_element_at(table, F.col("signal"))).where("w is not null").withColumn("rank", rank)
+    known = signals.withColumn("w", F.try_element_at(table, F.col("signal"))).where("w is not null")
+    # equal scores are counted before they are ordered, so a signal's single ordered pass sees different scores only
+    ties = known.groupBy("signal", "score").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("signal").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ties.select("signal", "score", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("rank"))
+    ranked = known.join(ranks, (known["signal"] == ranks["signal"]) & known["score"].eqNullSafe(ranks["score"])).select("node", "w", "rank")
     if penalties is not None:
         ranked = ranked.join(penalties, "node", "left").withColumn("rank", F.col("rank") + F.coalesce("penalty", F.lit(0)))
     fused = ranked.groupBy("node").agg(F.sum(F.col("w") / (FUSION + F.col("rank"))).alias("score"))
@@ -97,7 +116,7 @@ SIGNALS = {
     "query_bm25": {"bm25": 4.0, "pr": 0.5, "bt": 0.5, "type_ref": 0.3},
     "query_semantic": {"semantic": 6.0, "pr": 0.3, "bt": 0.5, "type_ref": 0.3},
 }
-ROLL_UP = {"pr": "sqrt", "bt": "max", "dispatcher": "sqrt", "entry": "sqrt", "type_ref": "sqrt"}
+ROLL_UP = {"pr": "sqrt", "bt": "max", "dispatcher": "sqrt", "entry": "sqrt", "type_ref": "sqrt", "simple": "sqrt"}
 
 
 def mode_of(query: str, has_vectors: bool) -> str:
@@ -150,12 +169,19 @@ def budget_skip(rows: DataFrame, by: str, order: Column, id_col: str, tokens: st
     return folded.select(by, F.inline("kept"))
 
 
-def simple_map(entities: DataFrame, blame: DataFrame) -> DataFrame:
+def simple_map(entities: DataFrame, blame: DataFrame | None, members: DataFrame | None = None) -> DataFrame:
     """``(node, score)``: different commits on an entity's lines plus lines / 1e6; the line count alone without any blame.
 
-    ``entities(node, file, first, last)``, ``blame(file, line, commit)``. The interval join is an equi-join on the file.
+    ``entities(node, file, first, last)``, ``blame(file, start, upto, commit)`` with ranges of lines. With ``members(node,
+    parent)`` classes take 0.3 of the root of their methods' sum.
     """
     size = (F.col("last") - F.col("first") + 1).alias("lines")
-    hits = entities.select("node", "file", "first", "last").join(blame, "file").where("line between first and last")
-    commits = hits.groupBy("node").agg(F.countDistinct("commit").alias("commits"))
-    return entities.select("node", size).join(commits, "node", "left").select("node", (F.coalesce("commits", F.lit(0)) + F.col("lines") / 1e6).alias("score"))
+    if blame is None:
+        scores = entities.select("node", size).select("node", F.col("lines").cast("double").alias("score"))
+    else:
+        hits = entities.select("node", "file", "first", "last").join(blame, "file").where("start <= last and upto >= first")
+        commits = hits.groupBy("node").agg(F.countDistinct("commit").alias("commits"))
+        scores = entities.select("node", size).join(commits, "node", "left").select("node", (F.coalesce("commits", F.lit(0)) + F.col("lines") / 1e6).alias("score"))
+    if members is None:
+        return scores
+    return roll_up(scores.withColumn("signal", F.lit("simple")), members).select("node", "score")

@@ -88,13 +88,27 @@ def class_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return ops.roll_up(scores, members).select("signal", "node", F.round("score", 6).alias("score"))
 
 
-def simple_map(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities span their lines; a file's commits are spread over its lines by their hash."""
-    from quarrylens.plans.bindings import commits
+def _map(spark: SparkSession, sf: str, blamed: bool = True, classes: bool = False) -> DataFrame:
+    from quarrylens.plans.quality import _marks
 
     spans = entities(spark, sf).where("lines is not null").select("node", "file", "first", (F.col("first") + F.col("lines") - 1).alias("last"))
-    blame = commits(spark, sf).select(fx.renamed_path(F.col("file")).alias("file"), F.col("commit_hash").alias("commit"), F.explode(F.sequence(F.lit(1), F.least(F.lit(500), F.greatest(F.lit(1), F.coalesce("added", F.lit(1))))).cast("array<int>")).alias("line"))
-    return ops.simple_map(spans, blame.select("file", "line", "commit")).select("node", F.round("score", 6).alias("score"))
+    members = spans.select("node", F.col("file").alias("parent")) if classes else None
+    return ops.simple_map(spans, _marks(spark, sf) if blamed else None, members).select("node", F.round("score", 6).alias("score"))
+
+
+def simple_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities span their lines; a commit touches as many of a file's lines as it added."""
+    return _map(spark, sf)
+
+
+def simple_map_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Without any blame the number of lines ranks."""
+    return _map(spark, sf, blamed=False)
+
+
+def simple_map_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Files stand for the classes of their entities."""
+    return _map(spark, sf, classes=True)
 
 
 def budget_stop(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +145,7 @@ def pair_names(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("pair_id", (F.col("name_a") == F.col("name_b")).alias("same_name"), nested(F.col("file_a"), F.col("first_a"), last_a, F.col("file_b"), F.col("first_b"), last_b).alias("nested"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, bm25_scores, bm25_terms, bm25_lengths, static_idf, semantic_search, find_identifiers, rank_fusion, rank_fusion_penalised, class_rollup, simple_map, budget_stop, budget_skip, index_stats, entity_flags, pair_names)}
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_scores, bm25_terms, bm25_lengths, static_idf, semantic_search, find_identifiers, rank_fusion, rank_fusion_penalised, class_rollup, simple_map, simple_map_lines, simple_map_rollup, budget_stop, budget_skip, index_stats, entity_flags, pair_names)}
 
 _LANG = "case regexp_extract(file, '\\.([^./]+)$', 1) when 'py' then 'python' when 'js' then 'javascript' when 'jsx' then 'javascript' when 'mjs' then 'javascript' when 'cjs' then 'javascript' when 'go' then 'go' when 'java' then 'java' when 'c' then 'c' when 'sh' then 'bash' end"
 _SCORED = "select term, df, round(ln(((select count(*) from documents where text is not null) - df + 0.5) / (df + 0.5) + 1), 6) as idf from df"

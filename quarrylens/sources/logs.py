@@ -21,8 +21,11 @@ def carried(lines: DataFrame, value: Column, by: str = "id", order: str = "pos")
 
 
 def numstat(lines: DataFrame) -> DataFrame:
-    """``(id, commit, file, added, removed)`` from hash lines followed by counts; ``-`` stands for a binary file."""
-    commit = F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line"))
+    """``(id, commit, file, added, removed)`` from hash lines followed by counts; ``-`` stands for a binary file.
+
+    A hash may stand alone or behind a mark (``commit:``, ``@@``, ...), with fields behind it.
+    """
+    commit = F.nullif(F.regexp_extract("line", r"^(?:[^0-9a-f\s]{0,3}|commit[: ]\s*)([0-9a-f]{40})(?:$|\W)", 1), F.lit(""))
     rows = lines.withColumn("commit", carried(lines, commit)).where(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t.+"))
     parts = F.split("line", "\t", 3)
     return rows.select("id", "commit", parts[2].alias("file"), F.expr("try_cast(split(line, '\t')[0] as bigint)").alias("added"), F.expr("try_cast(split(line, '\t')[1] as bigint)").alias("removed"))
@@ -41,7 +44,7 @@ def porcelain_blame(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("commit", F.substring("head", 1, 40)).withColumn("n", F.split("head", " ")[2].cast("int"))
 
     def fact(prefix: str) -> Column:
-        return F.max(F.when(F.col("line").startswith(prefix + " "), F.substring(F.col("line"), len(prefix) + 2, 100000)))
+        return F.max(F.when(F.col("line").startswith(prefix + " "), F.expr(f"substring(line, {len(prefix) + 2})")))
 
     facts = rows.groupBy("id", "commit").agg(fact("author").alias("author"), fact("author-mail").alias("email"), fact("author-time").cast("bigint").alias("epoch"), fact("summary").alias("summary"))
     marks = rows.where(F.col("line").startswith("\t")).select("id", "commit", F.col("n").alias("line"))
@@ -56,46 +59,86 @@ def diff_hunks(lines: DataFrame) -> DataFrame:
     return rows.select("id", "pos", start.cast("int").alias("start"), F.when(count == "", 1).otherwise(F.expr("try_cast(regexp_extract(head, '\\\\+\\\\d+,(\\\\d+)', 1) as int)")).alias("lines"), "line")
 
 
-#: Patterns of stack frames by the priority in which they are tried.
-FRAMES = [
-    ("python", r'File "(.*?)", line (\d+)(?:, in (\w+))?'),
-    ("ruby", r"(\S+?):(\d+):in"),
-    ("java", r"\(([a-zA-Z0-9_\-.]+\.[a-zA-Z0-9]+):(\d+)\)"),
-    ("generic", r"([a-zA-Z0-9_\-./\\]+\.[a-zA-Z0-9]+):(\d+)"),
+#: Forms of a frame by language: pattern, then which of its groups are the file, the line and the function (0: not told).
+#: The first form that fits a line counts; the last one takes any ``path.ext:line``.
+FRAME_FORMS = [
+    ("python", r'\bFile "([^"]+)", line (\d+)(?:, in ([\w.<>]+))?', 1, 2, 3),
+    ("java", r"^\s*at ([\w$.<>/]+)\(([\w$-]+\.(?:java|kt|scala|groovy|clj)):(\d+)\)", 2, 3, 1),
+    ("node", r"^\s*at (?:async )?(?:new )?([\w$.<>]+)(?: \[as [\w$]+\])? \((?:file://)?([^()\s]+?):(\d+):\d+\)", 2, 3, 1),
+    ("node", r"^\s*at (?:async )?(?:file://)?([^()\s]+?\.[cm]?[jt]sx?):(\d+):\d+", 1, 2, 0),
+    ("rust", r"^\s*at (\S+\.rs):(\d+)(?::\d+)?", 1, 2, 0),
+    ("rust", r"\bpanicked at (?:'.*', )?(\S+\.rs):(\d+):\d+", 1, 2, 0),
+    ("ruby", r"^\s*(?:\d+: )?(?:from )?(\S+\.rb):(\d+):in [`'](?:block in )?([^']+)'", 1, 2, 3),
+    ("go", r"^\s+(\S+\.go):(\d+)(?: \+0x[0-9a-f]+)?\s*$", 1, 2, 0),
+    ("generic", r"([\w@~./\\-]+\.[A-Za-z][A-Za-z0-9]*):(\d+)\b", 1, 2, 0),
 ]
-#: Patterns of error types and messages, the first that fits counts; groups: type, message.
-ERRORS = [
-    (r"(?m)^([A-Z][a-zA-Z]*(?:Error|Exception|Fault)):\s*(.+)$", 1, 2),
-    (r"(?m)(?:java\.\w+\.)?([A-Z][a-zA-Z]*(?:Exception|Error))(?:\s|$)", 1, 0),
-    (r"panic:\s*(?:runtime error:\s*)?(.+?)(?:\n|$)", 0, 1),
-    (r"(?m)^Error:\s*(.+)$", 0, 1),
-    (r"panicked at '([^']+)'", 0, 1),
+#: Forms of an error: pattern over the whole trace, then the groups of type and message (0: not told).
+ERROR_FORMS = [
+    (r"(?m)^panic: (?:runtime error: )?(.*?)(?: \[recovered\])?$", 0, 1),
+    (r"panicked at '(.*)', \S+:\d+", 0, 1),
+    (r"panicked at \S+:\d+:\d+:\n(.*)", 0, 1),
+    (r"(?m):in [`'][^']*': (.*) \(([A-Z]\w*)\)$", 2, 1),
+    (r'(?m)^(?:Exception in thread "[^"]*" |Caused by: |Uncaught )?(?:[\w$]+\.)*([A-Z][\w$]*(?:Error|Exception|Fault|Interrupt|Exit)): (.+)$', 1, 2),
+    (r'(?m)^(?:Exception in thread "[^"]*" |Caused by: |Uncaught )?(?:[\w$]+\.)*([A-Z][\w$]*(?:Error|Exception|Fault|Interrupt|Exit)):?\s*$', 1, 0),
+    (r"(?m)^(?:Error|error|fatal): (.+)$", 0, 1),
 ]
 
 
 def stack_frames(traces: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, style, file, line, function)``: frames in order, each file and line once per trace; bars count as line ends."""
     rows = text_lines(traces.withColumn("__t", F.regexp_replace(text_col, r"\s*\|\s*", "\n")), id_col, "__t")
-    style, file, line = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, pattern in reversed(FRAMES):
-        hit = F.regexp_extract("line", pattern, 2) != ""
-        style, file, line = F.when(hit, name).otherwise(style), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(file), F.when(hit, F.regexp_extract("line", pattern, 2)).otherwise(line)
-    function = F.nullif(F.regexp_extract("line", FRAMES[0][1], 3), F.lit(""))
-    found = rows.select("id", "pos", style.alias("style"), file.alias("file"), line.cast("int").alias("n"), function.alias("function")).where("style is not null")
+    nothing = F.lit(None).cast("string")
+    frame = F.struct(nothing.alias("style"), nothing.alias("file"), nothing.alias("line"), nothing.alias("function"))
+    for name, pattern, f, n, g in reversed(FRAME_FORMS):
+        part = lambda i, p=pattern: F.nullif(F.regexp_extract("line", p, i), F.lit("")) if i else nothing
+        frame = F.when(F.col("line").rlike(pattern), F.struct(F.lit(name).alias("style"), part(f).alias("file"), part(n).alias("line"), part(g).alias("function"))).otherwise(frame)
+    found = rows.select("id", "pos", frame.alias("x")).where("x.style is not null").select("id", "pos", "x.style", "x.file", F.col("x.line").cast("int").alias("n"), "x.function")
     first = F.row_number().over(Window.partitionBy("id", "file", "n").orderBy("pos"))
     return found.withColumn("k", first).where("k = 1").select("id", "pos", "style", "file", F.col("n").alias("line"), "function")
 
 
 def error_of(text: Column) -> tuple[Column, Column]:
-    """(type, message) of the first pattern that fits."""
-    kind, message = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for pattern, t, m in reversed(ERRORS):
-        hit = F.regexp_extract(text, pattern, t or m) != ""
-        kind = F.when(hit, F.regexp_extract(text, pattern, t) if t else F.lit(None)).otherwise(kind)
-        message = F.when(hit, F.regexp_extract(text, pattern, m) if m else F.lit(None)).otherwise(message)
+    """(type, message) by the first form that fits; null where the form doesn't tell."""
+    kind = message = F.lit(None).cast("string")
+    for pattern, t, m in reversed(ERROR_FORMS):
+        hit = text.rlike(pattern)
+        part = lambda i, p=pattern: F.nullif(F.regexp_extract(text, p, i), F.lit("")) if i else F.lit(None).cast("string")
+        kind, message = F.when(hit, part(t)).otherwise(kind), F.when(hit, part(m)).otherwise(message)
     return kind, message
 
 
+def function_log(lines: DataFrame) -> DataFrame:
+    """``(id, commit, author, email, time, subject, pos, line)``: each diff line of a log of one function with its commit.
+
+    Commits head their part as ``hash|author|email|epoch|subject``; what comes before the first is dropped.
+    """
+    head = F.when(F.col("line").rlike(r"^[0-9a-f]{7,40}\|.*\|\d+\|"), F.col("line"))
+    rows = lines.withColumn("head", carried(lines, head)).where("head is not null and line <> head")
+    parts = F.split("head", r"\|", 5)
+    return rows.select("id", parts[0].alias("commit"), parts[1].alias("author"), parts[2].alias("email"), F.timestamp_seconds(parts[3].cast("bigint")).alias("time"), parts[4].alias("subject"), "pos", "line")
+
+
+def dated_commits(lines: DataFrame) -> DataFrame:
+    """``(id, commit, day)`` from ``hash date`` lines; others are dropped."""
+    parts = F.split(F.trim("line"), r"\s+", 2)
+    return lines.where(F.col("line").rlike(r"^\s*[0-9a-f]{7,40}\s+\d{4}-\d\d-\d\d")).select("id", parts[0].alias("commit"), F.try_to_date(F.left(parts[1], F.lit(10)), "yyyy-MM-dd").alias("day"))
+
+
+def author_counts(lines: DataFrame) -> DataFrame:
+    """``(id, commits, author, email)`` from lines of a count, a name and perhaps an address in angle brackets."""
+    pattern = r"^\s*(\d+)\s+(.*?)(?:\s*<([^<>]*)>)?\s*$"
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    return lines.where(F.col("line").rlike(pattern)).select("id", part(1).cast("bigint").alias("commits"), part(2).alias("author"), F.nullif(part(3), F.lit("")).alias("email"))
+
+
+def rename_log(lines: DataFrame) -> DataFrame:
+    """``(id, commit, old, new, score)`` of the renames and copies in a log of names and states below commit lines."""
+    commit = F.when(F.col("line").rlike("^[0-9a-f]{7,40}$"), F.col("line"))
+    rows = lines.withColumn("commit", carried(lines, commit)).where(F.col("line").rlike(r"^[RC]\d+\t[^\t]+\t[^\t]+$"))
+    parts = F.split("line", "\t", 3)
+    return rows.select("id", "commit", parts[1].alias("old"), parts[2].alias("new"), F.substring(parts[0], 2, 3).cast("int").alias("score"))
+
+
 def local_file(frames: DataFrame, files: DataFrame) -> DataFrame:
     """Frames with ``local``: the file of equal path, else one whose path ends alike, else one of the same name.
 

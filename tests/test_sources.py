@@ -39,6 +39,43 @@ def test_stack_frames(spark):
     assert (row.k, row.m) == ("ZeroDivisionError", "by zero")
 
 
+def test_traces_of_six_languages(spark):
+    traces = {
+        "python": 'Traceback (most recent call last):\n  File "a/b.py", line 3, in <module>\n    go()\nshop.errors.StockError: none left: 2',
+        "java": 'Exception in thread "main" java.lang.IllegalStateException: shut\n\tat com.x.Gate.open(Gate.java:17)\n\tat com.x.Main$1.run(Main.kt:5)',
+        "node": "TypeError: x is not a function\n    at Object.run (/srv/app/run.js:10:15)\n    at async load (file:///srv/app/load.mjs:4:2)\n    at /srv/app/top.js:1:1",
+        "go": "panic: runtime error: index out of range [3]\n\ngoroutine 1 [running]:\nmain.main()\n\t/w/main.go:9 +0x1d",
+        "rust": "thread 'main' panicked at src/main.rs:4:5:\nout of ink\nstack backtrace:\n   1: pen::draw\n             at ./src/pen.rs:12:9",
+        "ruby": "app.rb:3:in `draw': no paper (PaperError)\n\tfrom lib/run.rb:8:in `block in main'",
+    }
+    df = spark.createDataFrame(list(traces.items()), "id string, t string")
+    got = {(r.id, r.style, r.file, r.line, r.function) for r in logs.stack_frames(df, "id", "t").collect()}
+    assert got >= {
+        ("python", "python", "a/b.py", 3, "<module>"), ("java", "java", "Gate.java", 17, "com.x.Gate.open"), ("java", "java", "Main.kt", 5, "com.x.Main$1.run"), ("node", "node", "/srv/app/run.js", 10, "Object.run"),
+        ("node", "node", "/srv/app/load.mjs", 4, "load"), ("node", "node", "/srv/app/top.js", 1, None), ("go", "go", "/w/main.go", 9, None), ("rust", "rust", "src/main.rs", 4, None), ("rust", "rust", "./src/pen.rs", 12, None),
+        ("ruby", "ruby", "app.rb", 3, "draw"), ("ruby", "ruby", "lib/run.rb", 8, "main"),
+    }
+    kind, message = logs.error_of(F.col("t"))
+    errors = {r.id: (r.k, r.m) for r in df.select("id", kind.alias("k"), message.alias("m")).collect()}
+    assert errors == {
+        "python": ("StockError", "none left: 2"), "java": ("IllegalStateException", "shut"), "node": ("TypeError", "x is not a function"), "go": (None, "index out of range [3]"), "rust": (None, "out of ink"), "ruby": ("PaperError", "no paper"),
+    }
+
+
+def test_other_logs(spark):
+    rows = logs.function_log(lines(spark, f"{SHA}|Ann|a@x|1700000000|fix | this\n@@ -1 +1 @@\n-a\n{'b' * 40}|Bob|b@x|1700000001|more\n+c")).collect()
+    assert [(r.commit[0], r.author, r.line) for r in rows] == [("a", "Ann", "@@ -1 +1 @@"), ("a", "Ann", "-a"), ("b", "Bob", "+c")] and rows[0].subject == "fix | this"
+    rows = logs.dated_commits(lines(spark, f"{SHA} 2024-02-29 10:00:00 +0100\nnone\n{'b' * 7} 2024-13-01")).collect()
+    assert [(r.commit[0], str(r.day)) for r in rows] == [("a", "2024-02-29"), ("b", "None")]
+    rows = logs.author_counts(lines(spark, "  12\tAnn Lee <a@x>\n3 Bob\nnobody")).collect()
+    assert [(r.commits, r.author, r.email) for r in rows] == [(12, "Ann Lee", "a@x"), (3, "Bob", None)]
+    rows = logs.rename_log(lines(spark, f"{SHA}\nM\tx.py\nR087\told.py\tnew.py\nC100\ta\tb")).collect()
+    assert [(r.commit[0], r.old, r.new, r.score) for r in rows] == [("a", "old.py", "new.py", 87), ("a", "a", "b", 100)]
+    found = logs.numstat(lines(spark, f"commit: {SHA}|Ann\n3\t1\ta.py\n@@{'b' * 40}\n1\t0\tb.py")).collect()
+    assert [(r.commit[0], r.file) for r in found] == [("a", "a.py"), ("b", "b.py")]
+    assert logs.rename_log(lines(spark, "")).count() == 0
+
+
 def test_settings(spark):
     rows = spark.createDataFrame([(1, "# no=comment\nkey = 'long value'\nurl: http://a=b\nshort=x")], "id int, t string")
     assert [(r.line, r.key, r.value) for r in logs.key_values(rows, "id", "t").collect()] == [(2, "key", "long value")]
