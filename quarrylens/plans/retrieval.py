@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import text as fx
 from quarrylens.operators import retrieval as ops
+from quarrylens.operators import store
 from quarrylens.plans.bindings import ENTITIES, PAIRS, WORDS, entities, entity_pairs
 from quarrylens.session import read_table
 
@@ -27,7 +28,9 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = ops.bm25(_documents(spark, sf), "doc_id", "text", QUERY).select("doc", F.round("score", 6).alias("score"))
+    """From the stored index of the documents, built by the first search."""
+    index = store.text_index(read_table(spark, sf, "documents"), "doc_id", "text")
+    found = store.search(spark, index, QUERY).select("doc", F.round("score", 6).alias("score"))
     return ops.top(found, 20, [F.desc("score"), F.col("doc")])
 
 

@@ -35,10 +35,13 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, exclud
     kept = (F.col("length") <= LARGEST) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS + SKIPPED_FILES))) & ~F.exists(parts, lambda p: p.startswith("."))
     if exclude:
         kept &= ~F.arrays_overlap(parts, F.array(*map(F.lit, exclude)))
+    # the last pattern that fits decides; one with "!" takes a file in again, unless its folder stays out
+    ignored = F.lit(False)
     for line in ignore or []:
         line = line.strip()
-        if line and not line.startswith(("#", "!")):
-            kept &= ~F.col("file").rlike(ignore_regex(line))
+        if line and not line.startswith("#"):
+            ignored = F.when(F.col("file").rlike(ignore_regex(line.lstrip("!"))), F.lit(not line.startswith("!"))).otherwise(ignored)
+    kept &= ~ignored
     rows = rows.where(kept)
     columns = [F.col("file"), language_of(F.col("file")).alias("language"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
     if content:

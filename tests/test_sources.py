@@ -89,6 +89,8 @@ def test_scan(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = tree.scan(spark, f"file:{tmp_path}", ["gen/", "# comment"]).collect()
     assert {(r.file, r.language, r.content) for r in found} == {("a.py", "python", "x = 1"), ("src/b.js", "javascript", "let a")}
+    assert {r.file for r in tree.scan(spark, f"file:{tmp_path}", ["*.py", "!a.py"], content=False).collect()} == {"a.py", "src/b.js"}
+    assert {r.file for r in tree.scan(spark, f"file:{tmp_path}", ["!a.py", "*.py"], content=False).collect()} == {"src/b.js"}
 
 
 def test_python_facts():
@@ -115,6 +117,18 @@ def test_flags_round_trip(spark):
     marked = formats.flagged(files, flags)
     assert marked.first().content == "x\n  # [FLAG] bad; worse\n  y\nz" and marked.count() == 1
     assert formats.unflagged(marked).first().content == "x\n  y\nz"
+    java = spark.createDataFrame([("A.java", "a\n// [FLAG] old\nb")], "file string, content string")
+    flags = spark.createDataFrame([("A.java", 2, "bad")], "file string, line int, note string")
+    assert formats.flagged(java, flags, replace=True).first().content == "a\n// [FLAG] bad\nb"
+    assert formats.flag_report(java, flags).first().asDict() == {"file": "A.java", "flags": 1, "lines_before": 3, "lines_after": 4}
+
+
+def test_files_are_written_with_backup(spark, tmp_path):
+    new, old = (spark.createDataFrame([("src/a.py", x)], "file string, content string") for x in ("new\r\n", "old"))
+    formats.write_files(new, str(tmp_path), old)
+    assert (tmp_path / "src/a.py").read_bytes() == b"new\r\n" and (tmp_path / "src/a.py.bak").read_text() == "old"
+    rows = formats.as_tree(spark.createDataFrame([("r/s/a.py",), ("r/b.py",)], "file string"), "file").orderBy("path").collect()
+    assert [r.value for r in rows] == ["r/ (2)", "  b.py", "  s/ (1)", "    a.py"]
     row = spark.createDataFrame([("k = 'abc' + abc", "abc")], "l string, v string").select(formats.redacted_line(F.col("l"), F.col("v")).alias("x")).first()
     assert row.x == "k = '***REDACTED***' + abc"
 
