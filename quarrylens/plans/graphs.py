@@ -80,7 +80,9 @@ def personalised_pagerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def converged_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(ops.pagerank(repo_edges(spark, sf)))
+    """Until the ranks move less than a billionth a node."""
+    out = ops.pagerank(repo_edges(spark, sf), tolerance=1e-9)
+    return out.select("node", F.round("rank", 6).alias("rank"))
 
 
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,4 +267,5 @@ SQL = {
     "entity_cycles": f"{_closed(ENTITY_EDGES)} select a.src as node, min(a.dst) as cycle from reach a join reach b on a.src = b.dst and a.dst = b.src group by a.src",
     "high_connectivity": f"with {ENTITIES}, edges as (select distinct a as src, b as dst from pairs where a <> b), deg as (select node, cast(sum(i) as bigint) as fan_in from (select src as node, 0 as i from edges union all select dst, 1 from edges) group by node), r as (select node, fan_in, case when lower(name) in ({', '.join(repr(x) for x in fx.UTILITIES)}) then 'utility_name' when fan_in > 5 then 'high_fan_in' end as reason from deg join entities using (node)) select * from r where reason is not null",
     "hotspots_top": f"with {ENTITY_EDGES}{_HOT} select node, coupling, risk, cast(row_number() over (order by risk desc, coupling desc, node) as int) as rank from hot where fan_in + fan_out >= 2 order by rank limit 20",
+    "converged_pagerank": f"select node, round(rank, 6) as rank from ({_pagerank_sql(repo_edges_sql(), steps=60)})",
 }

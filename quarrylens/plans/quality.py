@@ -463,4 +463,15 @@ select doc_id, round(sim, 6) as similarity, case when sim >= 0.95 then 'critical
     "author_counts": f"with {COMMITS} select count(distinct commit_hash) as commits, author from commits where author is not null group by author",
     "commit_days": f"with {COMMITS} select distinct commit_hash as commit, strftime(ts, '%Y-%m-%d') as day from (select distinct commit_hash, ts from commits)",
     "rename_log": f"with {_RAW} select distinct commit_hash as commit, regexp_replace(regexp_replace(regexp_replace(raw, '\\{{([^{{}}]*) => ([^{{}}]*)\\}}', '\\1', 'g'), ' => .*$', ''), '/+', '/', 'g') as old, file as new, 90 as score from commits where contains(raw, ' => ')",
+    "string_features": rf"""with {_VALUES}, x as (select value_id, original_value as v, string_split(original_value, '') as c, length(original_value) as n from vals where original_value is not null),
+k as (select *, list_transform(c, lambda y: case when regexp_matches(y, '^[a-z]$') then 1 when regexp_matches(y, '^[A-Z]$') then 2 when regexp_matches(y, '^[0-9]$') then 3 else 4 end) as kinds, list_filter(range(1, n + 1), lambda i: i = 1 or c[i] <> c[i - 1]) as starts from x)
+select value_id, n as length, round(case when n > 0 then coalesce(0 - list_sum(list_transform(map_values(list_histogram(c)), lambda y: y / n * log2(y / n))), 0) else 0 end, 6) as entropy,
+{', '.join(f"round(case when n > 0 then (n - length(regexp_replace(v, '{p}', '', 'g'))) / n else 0 end, 6) as {f}" for f, p in (('lower', '[a-z]'), ('upper', '[A-Z]'), ('digits', '[0-9]'), ('symbols', '[^A-Za-z0-9' + chr(92) + 's]'), ('blanks', chr(92) + 's')))},
+case when n > 0 then len(list_distinct(c)) else 0 end as distinct, case when n > 0 then len(list_filter(range(2, n + 1), lambda i: kinds[i] <> kinds[i - 1])) else 0 end as changes,
+case when n > 0 then list_max(list_transform(range(1, len(starts) + 1), lambda i: coalesce(starts[i + 1], n + 1) - starts[i])) else 0 end as longest_run,
+{', '.join(f"cast(regexp_matches(v, '{p}') as bigint) as {f}" for f, p in (('identifier', r'^[A-Za-z_]\w*$'), ('hex', '^(0x)?[0-9a-fA-F]{16,}$'), ('base64', '^[A-Za-z0-9+/]{16,}={0,2}$'), ('uuid', '^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$'), ('email', r'^[\w.+-]+@[\w-]+(\.[\w-]+)+$'), ('url', r'^[a-zA-Z][\w+.-]*://'), ('url_login', r'://[^/\s:@]+:[^/\s@]+@'), ('path', r'^(\.{0,2}/|[A-Za-z]:\\)'), ('key_prefix', r'^(AKIA|ghp_|gho_|ghs_|sk-|sk_live_|xox[abp]-|glpat-|SG\.|AIza|-----BEGIN)'), ('jwt', r'^eyJ[\w-]+\.eyJ'), ('placeholder', r'(?i)(change.?me|your|example|placeholder|x{4,}|\*{3,}|<.*>|\$\{)')))},
+len(list_filter(string_split_regex(v, '\s+'), lambda w: w <> '')) as words from k""",
+    "clones_syntactic": f"with {_LINES}{_CAND}, pr as (select a, b, x.pos as pos_a, y.pos as pos_b, len(list_intersect(x.tokens, y.tokens)) as c, len(x.tokens) as na, len(y.tokens) as nb from cand join lines x on x.id = a join lines y on y.id = b), sc as (select *, c / (na + nb - c)::double as sim from pr where c > 0), best as (select * from (select *, row_number() over (partition by a, b, pos_a order by sim desc, pos_b) as n from sc) where n = 1 and sim >= 0.7), fl as (select *, case when coalesce(lag(pos_a) over w + 1 = pos_a and lag(pos_b) over w + 1 = pos_b and sim >= 0.95, false) then 0 else 1 end as begins from best window w as (partition by a, b order by pos_a)), rn as (select *, sum(begins) over (partition by a, b order by pos_a) as run from fl), bl as (select a, b, run, count(*) as length from rn group by 1, 2, 3), g as (select a, b, cast(sum(length) as bigint) as matched, max(case when length >= 2 then length else 0 end) as max_block from bl group by 1, 2), t as (select id as a, count(*) as total from lines group by id) select a, b, round(matched / total, 6) as share, matched, total, max_block, case when matched / total >= 0.95 then 'EXACT' when matched / total >= 0.80 and max_block >= 5 then 'NEAR' when max_block >= 5 then 'STRUCTURAL' else 'PARTIAL' end as category from g join t using (a) where matched >= greatest(1, floor(total * 0.5))",
+    "json_settings": f"with {_VALUES} select value_id as id, replace(j.fullkey, '$.', '') as path, json_extract_string(context_text, j.fullkey) as value from vals, json_tree(context_text) j where file like '%.json' and json_valid(context_text) and j.type = 'VARCHAR'",
+    "stack_frames": f"with {ENTITIES}, t as (select distinct name, file, first, 'File " + '"' + "' || file || '" + '"' + ", line ' || first || ', in ' || name as x from entities) select name as id, cast(row_number() over (partition by name order by x) - 1 as int) as pos, 'python' as style, file, cast(first as int) as line, name as function, file as local from t",
 }
