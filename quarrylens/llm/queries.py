@@ -111,9 +111,31 @@ reach(n, g) using key (n) as (
   select w.b, min(r.g) from reach r join both_ways w on w.a = r.n join recurring.reach q on q.n = w.b where r.g < q.g group by w.b)
 select n as node_id, g as group_id from reach"""
 
+def _count(*marks: str) -> str:
+    return " + ".join(f"(length(text) - length(replace(text, {m}, '')))" for m in marks)
+
+
+_FEEDS, _PAIRS = _count("chr(10)"), "((length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2)"
+_HTML, _QUOTES = f"(4 * ({_count(chr(39) + '&' + chr(39))}) + 3 * ({_count(chr(39) + '<' + chr(39), chr(39) + '>' + chr(39))}))", f"(5 * ({_count('chr(34)', 'chr(39)')}))"
+_JSON = f"({_count('chr(34)', 'chr(92)', 'chr(10)', 'chr(13)', 'chr(9)', 'chr(12)', 'chr(8)')})"
+_ASTRAL, _BEYOND = r"(length(text) - length(regexp_replace(text, '[\x{10000}-\x{10FFFF}]', '', 'g')))", r"(length(text) - length(regexp_replace(text, '[^\x{0}-\x{7F}]', '', 'g')))"
+_SIZES = {
+    "characters": "length(text)", "bytes": "strlen(text)", "utf16": f"length(text) + {_ASTRAL}", "html": f"length(text) + {_HTML}", "html_quotes": f"length(text) + {_HTML} + {_QUOTES}", "html_bytes": f"strlen(text) + {_HTML} + {_QUOTES}",
+    "json": f"length(text) + {_JSON}", "json_ascii": f"length(text) + {_JSON} + 5 * {_BEYOND} + 6 * {_ASTRAL}", "json_bytes": f"strlen(text) + {_JSON}", "crlf": f"length(text) + ({_FEEDS}) - {_PAIRS}", "lf": f"length(text) - {_PAIRS}", "lf_bytes": f"strlen(text) - {_PAIRS}",
+}
+_LIMITS = rf"""
+with t as (select distinct coalesce(regexp_replace(lower(trim(source, ' ')), '[\s_\-]+', '_', 'g'), '') as source, text from documents where regexp_matches(text, '\S')),
+s as ({' union all '.join(f"select source, '{k}' as measure, cast({v} as bigint) as length from t" for k, v in _SIZES.items())}),
+c as (select source, measure, length, count(*) as texts from s group by all),
+m as (select *, (sum(texts) over wide - texts) / (16 + least(16, length - 1))::double as far, (sum(texts) over close - texts) / (2 + least(2, length - 1))::double as near from c
+  window wide as (partition by source, measure order by length range between 16 preceding and 16 following), close as (partition by source, measure order by length range between 2 preceding and 2 following)),
+e as (select *, greatest(far, near) as expected from m)
+select source, measure, cast(length as int) as length, texts, expected from e where texts > expected + 4 * sqrt(expected) + 3 and expected <= 0.5 * texts"""
+
 SQL: dict[str, str] = {
     "p2_found": _GROUPS,
     "p2_sizes": f"select group_id, count(*) as nodes from ({_GROUPS}) group by group_id",
+    "p8_limits": _LIMITS,
     "p6_roundtrip": "select doc_id, true as same from documents",
     "p3_found": """
 with ranked as (select *, row_number() over (partition by node_id order by cached_at desc nulls last, ingested_at desc nulls last) as n from cached_indices where node_id is not null),
