@@ -26,7 +26,7 @@ def resolve_packages(modules: DataFrame, packages: DataFrame, separator: str = "
 
     All prefixes are exploded and equi-joined, so no module meets every package.
     """
-    parts = F.split("module", F.lit("\\" + separator if separator == "." else separator))
+    parts = F.split("module", F.lit("\\" + separator if separator in (".", "\\") else separator))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
     rows = modules.select("module").distinct().select("module", F.explode(prefixes).alias("package")).join(packages.select("package").distinct(), "package")
     return rows.groupBy("module").agg(F.max_by("package", F.length("package")).alias("package"))
@@ -88,3 +88,32 @@ def cycle_imports(imports: DataFrame) -> DataFrame:
     found = cycles(imports)
     a, b = found.toDF("src", "ca"), found.toDF("dst", "cb")
     return imports.join(a, "src").join(b, "dst").where("ca = cb").drop("cb").withColumnRenamed("ca", "cycle")
+
+
+def findings(files: DataFrame, imports: DataFrame, metrics: DataFrame, top: int | None = 10, limits: dict[str, float] | None = None) -> DataFrame:
+    """``(rule, subject, size, rank)``: the audit's rules, each with its own order and its first ``top`` rows (all for 0 or None).
+
+    ``files(file, loc, top_import_statements)``, ``imports(src, dst, inside)``, ``metrics`` of ``package_metrics``.
+    """
+    limit = {"loc": 5000, "files": 30, "fan_out": 6, "ratio": 200, "least": 300, "lines": 665, "some": 500, "imports": 15} | (limits or {})
+    found = package_cycles(imports.where("not inside").select("src", "dst").distinct())
+    parts = {
+        "cycle": found.select(F.array_join("members", ",").alias("subject"), F.col("packages").cast("double").alias("size")),
+        "kitchen_sink": kitchen_sinks(metrics, limit["loc"], limit["files"], limit["fan_out"]).select(F.col("package").alias("subject"), F.col("loc").cast("double").alias("size")),
+        "shallow_package": shallow_packages(metrics, limit["ratio"], limit["least"]).select(F.col("package").alias("subject"), (-F.col("ratio")).alias("size")),
+        "oversized_file": oversized_files(files, limit["lines"], limit["some"], limit["imports"]).select(F.col("file").alias("subject"), F.col("loc").cast("double").alias("size")),
+        "function_imports": imports.where("inside").groupBy(F.col("src").alias("subject")).agg(F.count(F.lit(1)).cast("double").alias("size")),
+    }
+    out = None
+    for rule, rows in parts.items():
+        rows = rows.select(F.lit(rule).alias("rule"), "subject", "size")
+        out = rows if out is None else out.unionByName(rows)
+    rank = F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("size"), "subject"))
+    ranked = out.withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= top) if top else ranked
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """``(rule, value)``: the findings of each rule as one JSON text; the rules are few and each has its first rows only."""
+    listed = rows.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("rank", "subject", "size"))).alias("findings"))
+    return listed.select("rule", F.to_json(F.struct("rule", "findings")).alias("value"))
