@@ -87,11 +87,28 @@ def signature(source: Column, header_lines: Column) -> Column:
     return F.array_join(F.slice(lines, 1, F.greatest(F.lit(1), F.coalesce(header_lines, F.lit(5)))), "\n")
 
 
-def snippet(source: Column, most: int = 15) -> Column:
-    """At most ``most`` lines and how many more there are."""
+def head_lines(source: Column) -> Column:
+    """How many lines a signature has: up to the first with a colon or an opening brace, one if there is none."""
     lines = F.split(source, "\n")
-    more = F.size(lines) - most
-    return F.when(more > 0, F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.format_string("\n... %d more lines", more))).otherwise(source)
+    marks = F.transform(lines, lambda x, i: F.when(x.contains(":") | x.contains("{"), i + 1))
+    return F.coalesce(F.array_min(marks), F.lit(1)).cast("int")
+
+
+def snippet(source: Column, most: int = 15) -> Column:
+    """The signature and as much of the body as ``most`` lines hold, with a last line that tells how many more there are."""
+    lines, head = F.split(source, "\n"), head_lines(source)
+    body = F.lit(most) - head - 1
+    shown = F.slice(lines, 1, head + F.greatest(body, F.lit(0)))
+    mark = F.when(body <= 0, F.lit("    # ...")).otherwise(F.format_string("    # ... (%d more lines)", F.size(lines) - F.size(shown)))
+    return F.when(F.size(lines) <= most, source).otherwise(F.array_join(F.concat(shown, F.array(mark)), "\n"))
+
+
+def semantic_text(name: Column, source: Column, most: int = 5) -> Column:
+    """What an encoder is given: the name, its words, the signature and the first lines of the body."""
+    lines, head = F.split(source, "\n"), head_lines(source)
+    body = F.trim(F.array_join(F.slice(lines, head + 1, F.lit(most)), "\n"))
+    title = F.concat(name, F.lit(" "), F.lower(spread_name(name)), F.lit("\n"), F.array_join(F.slice(lines, F.lit(1), head), "\n"))
+    return F.when(body == "", title).otherwise(F.concat(title, F.lit("\n"), body))
 
 
 def code_lines(text: Column) -> Column:
@@ -210,3 +227,30 @@ def tier(value: Column, *steps: tuple[float, str], rest: str = "low") -> Column:
     for least, label in steps[1:]:
         out = out.when(value >= least, label)
     return out.otherwise(rest)
+
+
+#: Labels of a score's tenths of the largest score, from the top.
+DECILES = ["critical", "high", "elevated", "moderate", "medium", "notable", "low", "minimal", "safe", "optimal"]
+
+
+def decile(score: Column, most: Column) -> Column:
+    """The label of ``score / most``; the lowest where there is no largest score."""
+    ratio = F.when(most > 0, score / most).otherwise(0.0)
+    return tier(ratio, *[((9 - i) / 10, label) for i, label in enumerate(DECILES[:-1])], rest=DECILES[-1])
+
+
+def project_key(path: Column) -> Column:
+    """The key of a project's stored artifacts."""
+    return F.sha2(path, 256)
+
+
+def seconds(duration: str) -> int:
+    """``90s``, ``30m``, ``1h`` or plain seconds; 0 for nothing."""
+    text = (duration or "").strip().lower()
+    scale = {"s": 1, "m": 60, "h": 3600}.get(text[-1:], 0)
+    return int(text[:-1]) * scale if scale else int(text or 0)
+
+
+def thresholds(text: str) -> dict[str, float]:
+    """``name=1.5,other=2`` as numbers; parts without a name or a number raise a ValueError."""
+    return {k.strip(): float(v) for k, v in (part.split("=", 1) for part in text.split(",") if part.strip())}

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 from quarrylens.session import cut
 
 
+def comparable(entities: DataFrame, min_lines: int = 3) -> DataFrame:
+    """Functions that clones are looked for in: with text and lines enough, no classes and no tests."""
+    return entities.where((F.col("kind") != "class") & (F.coalesce("text", F.lit("")) != "") & (F.col("lines") >= min_lines) & ~F.col("test"))
+
+
+def best_pairs(pairs: DataFrame, most: int, keep: Column | None = None) -> DataFrame:
+    """The ``most`` most similar pairs that are kept, out of the ten times as many most similar ones; all for 0."""
+    if not most:
+        return pairs if keep is None else pairs.where(keep)
+    order = [F.desc("similarity"), F.col("a"), F.col("b")]
+    first = pairs.orderBy(*order).limit(10 * most)
+    return (first if keep is None else first.where(keep)).orderBy(*order).limit(most)
+
+
 def function_lines(functions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, line, tokens)``: lines of five characters or more with two different tokens or more."""
     rows = functions.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))

@@ -88,11 +88,13 @@ def order_statistics(rows: DataFrame, value: str) -> DataFrame:
     return at.agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("most").alias("most"), pick(10).alias("p90"), pick(100).alias("p99"))
 
 
-def neighbours_top(edges: DataFrame, k: int = 3, least: float = 0.1) -> DataFrame:
-    """``(node, side, other, weight, rank)``: the heaviest callers and callees of each node."""
+def neighbours_top(edges: DataFrame, k: int = 3, least: float = 0.1, utilities: DataFrame | None = None) -> DataFrame:
+    """``(node, side, other, weight, rank)``: the heaviest callers and callees of each node, without ``utilities(node)`` among them."""
     both = edges.where(F.col("weight") >= least).select(
         F.explode(F.array(F.struct(F.col("dst").alias("node"), F.lit("caller").alias("side"), F.col("src").alias("other"), "weight"), F.struct(F.col("src").alias("node"), F.lit("callee").alias("side"), F.col("dst").alias("other"), "weight"))).alias("e")
     ).select("e.*")
+    if utilities is not None:
+        both = both.join(utilities.select(F.col("node").alias("other")), "other", "left_anti").select("node", "side", "other", "weight")
     order = Window.partitionBy("node", "side").orderBy(F.desc("weight"), "other")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -427,6 +429,12 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 200) -> DataF
     return every.join(parts, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def bottleneck_summary(scores: DataFrame, least: float = 0.001) -> DataFrame:
+    """One row ``(analysed, above, average, most)`` of ``scores(node, betweenness)``."""
+    b = F.col("betweenness")
+    return scores.agg(F.count(F.lit(1)).alias("analysed"), F.count_if(b >= least).alias("above"), F.round(F.coalesce(F.avg(b), F.lit(0.0)), 6).alias("average"), F.round(F.coalesce(F.max(b), F.lit(0.0)), 6).alias("most"))
+
+
 def replace_files(edges: DataFrame, files: DataFrame, fresh: DataFrame, file_of: Column) -> DataFrame:
     """Edges after a change: those that begin in changed ``files(file)`` are dropped and ``fresh`` edges added."""
     kept = edges.withColumn("file", file_of).join(files.select("file").distinct(), "file", "left_anti").drop("file")

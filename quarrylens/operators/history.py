@@ -96,3 +96,8 @@ def cached_or_new(texts: DataFrame, cache: DataFrame, model: str) -> tuple[DataF
     """(texts with their cached vector, texts to encode) by the MD5 of model and text."""
     keyed = texts.withColumn("text_md5", F.md5(F.concat(F.lit(model + "\0"), F.col("text"))))
     return keyed.join(cache, "text_md5"), keyed.join(cache, "text_md5", "left_anti")
+
+
+def dirty(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Texts whose vector the cache lacks: what a changed index leaves to encode."""
+    return cached_or_new(texts, cache, model)[1]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,30 @@ def top(rows: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def limited(rows: DataFrame, most: int | None, order: list[Column], reverse: bool = False) -> DataFrame:
+    """The first rows in order, all for 0, None or less; ``reverse`` shows them from the last to the first."""
+    rows = top(rows, most, order) if most and most > 0 else rows.withColumn("rank", F.lit(None).cast("int"))
+    return rows.orderBy(F.desc("rank")) if reverse and most and most > 0 else rows
+
+
+@dataclass(frozen=True)
+class Signal:
+    """A score per node from entities and a query, its weights by mode, and how a class takes its methods' scores."""
+
+    name: str
+    compute: Callable[[DataFrame, list[str]], DataFrame]
+    weights: dict[str, float]
+    aggregate: str | None = None
+
+
+def run_signals(signals: list[Signal], entities: DataFrame, query: list[str], mode: str) -> DataFrame:
+    """``(signal, node, score)`` of the signals that count in a mode; ``compute`` gives ``(node, score)``."""
+    parts = [x.compute(entities, query).select(F.lit(x.name).alias("signal"), "node", "score") for x in signals if mode in x.weights]
+    if not parts:
+        return entities.select(F.lit("").alias("signal"), "node", F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fuse(signals: DataFrame, weights: dict[str, float], penalties: DataFrame | None = None, semantic_weak: DataFrame | None = None) -> DataFrame:
     """``(node, score)``: reciprocal rank fusion of ``signals(signal, node, score)``.
 

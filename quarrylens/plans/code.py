@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import text as fx
-from quarrylens.operators import code, detectors, graph
+from quarrylens.operators import clones, code, detectors, graph
 from quarrylens.operators.retrieval import top
 from quarrylens.plans.bindings import files
 from quarrylens.session import cut
@@ -93,5 +93,20 @@ def code_search(spark: SparkSession, sf: str) -> DataFrame:
     return formats.as_xml(top(kept, 200, [F.col("used")]).withColumn("at", F.col("first")), "entity", ["rank", "node", "at"], "body")
 
 
-QUERIES = {f.__name__: f for f in (code_entities, scope_of_reference, resolved_references, call_edges, code_hotspots, code_dead, code_constants, code_ranks, frame_scopes, source_ranges, symbols, code_search)}
+def code_clones(spark: SparkSession, sf: str) -> DataFrame:
+    """Like functions by their lines, comparable ones only, neither nested nor in one another's file."""
+    entities = cut(code.code_entities(_facts(spark, sf)))
+    found = clones.syntactic(clones.comparable(entities), "node", "text")
+    ends = lambda x: entities.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("file", "first", "last")])
+    rows = found.join(ends("a"), "a").join(ends("b"), "b")
+    nested = clones.nested(F.col("file_a"), F.col("first_a"), F.col("last_a"), F.col("file_b"), F.col("first_b"), F.col("last_b"))
+    return rows.where(~nested).select("a", "b", F.round("share", 6).alias("share"), "matched", "total", "max_block", "category")
+
+
+def encoder_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = code.code_entities(_facts(spark, sf)).where("text is not null")
+    return rows.select("node", fx.semantic_text(F.col("name"), F.col("text")).alias("text"), fx.signature(F.col("text"), fx.head_lines(F.col("text"))).alias("signature"))
+
+
+QUERIES = {f.__name__: f for f in (code_entities, scope_of_reference, resolved_references, call_edges, code_hotspots, code_dead, code_constants, code_ranks, frame_scopes, source_ranges, symbols, code_search, code_clones, encoder_texts)}
 SQL: dict[str, str] = {}

@@ -52,6 +52,12 @@ def dependency_context(spark: SparkSession, sf: str) -> DataFrame:
     return ops.neighbours_top(entity_edges(spark, sf))
 
 
+def dependency_context_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Without utilities among the neighbours."""
+    utilities = entities(spark, sf).where(fx.is_utility(F.col("name"))).select("node")
+    return ops.neighbours_top(entity_edges(spark, sf), utilities=utilities)
+
+
 def connected_modules(spark: SparkSession, sf: str) -> DataFrame:
     modules = entities(spark, sf).select("node", fx.module_of(F.col("file")).alias("module")).distinct()
     return ops.connected_modules(entity_edges(spark, sf), modules).select("node", F.array_join("modules", ",").alias("modules"))
@@ -173,6 +179,18 @@ def bottlenecks(spark: SparkSession, sf: str) -> DataFrame:
     return ops.betweenness(edges, _nodes(edges)).where("betweenness >= 0.001").select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
+def bottleneck_summary(spark: SparkSession, sf: str) -> DataFrame:
+    edges = cut(repo_edges(spark, sf))
+    return ops.bottleneck_summary(ops.betweenness(edges, _nodes(edges)))
+
+
+def hotspot_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by the tenth of the largest risk that theirs comes to, marked where they are above a threshold."""
+    rows = ops.hotspots(entity_edges(spark, sf), _complexity(spark, sf), 1)
+    most = rows.agg(F.max("risk").alias("most"))
+    return rows.join(F.broadcast(most)).select("node", "risk", fx.decile(F.col("risk"), F.col("most")).alias("tier"), (F.col("risk") >= 10).alias("above_threshold"))
+
+
 def high_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     """Entities whose traces need a filter: utilities, and those with more than five callers."""
     rows = ops.degrees(entity_edges(spark, sf)).join(entities(spark, sf).select("node", "name"), "node")
@@ -201,7 +219,7 @@ QUERIES = {
     for f in (
         edge_weights, degrees, coupling_hotspots, hotspot_summary, hotspot_categories, dispatchers, dependency_context, connected_modules, weighted_indegree, pagerank, reverse_pagerank, personalised_pagerank,
         converged_pagerank, reachability, propagation_cost, critical_nodes, module_coupling, dependency_cycles, impact_radius, call_paths, path_statistics, bottlenecks, incremental_edges,
-        entity_propagation, propagation_bound, critical_top, module_top, entity_cycles, caller_paths, high_connectivity, hotspots_top,
+        entity_propagation, propagation_bound, critical_top, module_top, entity_cycles, caller_paths, high_connectivity, hotspots_top, dependency_context_plain, bottleneck_summary, hotspot_tiers,
     )
 }
 
@@ -268,4 +286,6 @@ SQL = {
     "high_connectivity": f"with {ENTITIES}, edges as (select distinct a as src, b as dst from pairs where a <> b), deg as (select node, cast(sum(i) as bigint) as fan_in from (select src as node, 0 as i from edges union all select dst, 1 from edges) group by node), r as (select node, fan_in, case when lower(name) in ({', '.join(repr(x) for x in fx.UTILITIES)}) then 'utility_name' when fan_in > 5 then 'high_fan_in' end as reason from deg join entities using (node)) select * from r where reason is not null",
     "hotspots_top": f"with {ENTITY_EDGES}{_HOT} select node, coupling, risk, cast(row_number() over (order by risk desc, coupling desc, node) as int) as rank from hot where fan_in + fan_out >= 2 order by rank limit 20",
     "converged_pagerank": f"select node, round(rank, 6) as rank from ({_pagerank_sql(repo_edges_sql(), steps=60)})",
+    "dependency_context_plain": f"with {ENTITIES}, edges as (select a as src, b as dst, cast(count(*) as double) as weight from pairs where a <> b group by a, b), u as (select node from entities where lower(name) in ({', '.join(repr(x) for x in fx.UTILITIES)})), e as (select dst as node, 'caller' as side, src as other, weight from edges union all select src, 'callee', dst, weight from edges), r as (select *, cast(row_number() over (partition by node, side order by weight desc, other) as int) as rank from e where other not in (from u)) select * from r where rank <= 3",
+    "hotspot_tiers": f"with {ENTITY_EDGES}{_HOT}, x as (select node, risk, risk / (select max(risk) from hot) as ratio from hot) select node, risk, case {' '.join(f"when ratio >= {(9 - i) / 10}::double then '{t}'" for i, t in enumerate(fx.DECILES[:-1]))} else '{fx.DECILES[-1]}' end as tier, risk >= 10 as above_threshold from x",
 }

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.functions.text import LANGUAGES, ignore_regex, language_of
+from quarrylens.functions.text import LANGUAGES, glob_regex, ignore_regex, language_of
+from quarrylens.operators.history import differences
 
 #: Folders and files a scan leaves out, and the largest file it reads.
 SKIPPED_FOLDERS = [
@@ -49,6 +50,30 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, exclud
     return rows.select(*columns)
 
 
+#: Fixed value: the largest text file that is read for its settings.
+LARGEST_TEXT = 1 << 20
+
+
+def text_files(spark: SparkSession, root: str, patterns: list[str], content: bool = True) -> DataFrame:
+    """``(file, size, modified, content)`` of files whose name fits one of the shell patterns, whatever ignore files say."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    prefix = root.rstrip("/") + "/"
+    rows = rows.withColumn("file", F.substr("path", F.locate(prefix, F.col("path")) + len(prefix)))
+    parts = F.split("file", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    named = F.lit(False)
+    for pattern in patterns:
+        named |= F.element_at(parts, -1).rlike(glob_regex(pattern))
+    kept = (F.col("length") <= LARGEST_TEXT) & named & ~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED_FOLDERS))) & ~F.exists(folders, lambda p: p.startswith("."))
+    columns = [F.col("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    return rows.where(kept).select(*columns, *([F.expr("decode(content, 'UTF-8')").alias("content")] if content else []))
+
+
+def stale(spark: SparkSession, root: str, known: DataFrame, ignore: list[str] | None = None) -> DataFrame:
+    """``(file, change)``: how a tree differs from its manifest ``known(file, size, modified)``, without reading contents."""
+    return differences(known, scan(spark, root, ignore, content=False), "file", ["size", "modified"]).where("change <> 'unchanged'")
+
+
 DECISIONS = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.AsyncFor, ast.Assert, ast.match_case)
 UNTRACKED = {"self", "cls", "args", "kwargs", "this", "ctx", "context"}
 

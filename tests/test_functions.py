@@ -41,7 +41,7 @@ def test_texts(spark):
 def test_spread_texts(spark):
     assert one(spark, "parseUser_id", fx.spread_name) == "parse User id"
     assert one(spark, "def f():\n  a\n  b", lambda c: fx.signature(c, F.lit(1))) == "def f():"
-    assert one(spark, "\n".join("abcdefghijklmnopq"), fx.snippet).endswith("... 2 more lines")
+    assert one(spark, "\n".join("abcdefghijklmnopq"), fx.snippet).endswith("\n    # ... (3 more lines)")
 
 
 @settings(max_examples=150, deadline=None)
@@ -57,3 +57,19 @@ def test_ignore_patterns():
     assert not re.match(fx.ignore_regex("/build/"), "a/build/x.py")
     assert re.match(fx.ignore_regex("*.log"), "a/b.log")
     assert re.match(fx.ignore_regex("a/**/z.py"), "a/b/c/z.py")
+
+
+def test_snippets_and_encoder_text(spark):
+    long = "def f(a,\n      b):\n" + "\n".join(f"    x{i} = {i}" for i in range(20))
+    row = spark.createDataFrame([("fooBar_baz", long), ("g", "x\ny")], "n string, t string").select(fx.snippet(F.col("t")).alias("s"), fx.semantic_text(F.col("n"), F.col("t")).alias("e"), fx.head_lines(F.col("t")).alias("h")).collect()
+    assert row[0].h == 2 and row[0].s.count("\n") == 14 and row[0].s.endswith("    x11 = 11\n    # ... (8 more lines)") and row[1].s == "x\ny" and row[1].h == 1
+    assert row[0].e.split("\n")[:3] == ["fooBar_baz foo bar baz", "def f(a,", "      b):"] and row[0].e.count("\n") == 7
+    short = spark.createDataFrame([("a {\n" + "b\n" * 30,)], "t string").select(fx.snippet(F.col("t"), 2)).first()[0]
+    assert short == "a {\n    # ..."
+
+
+def test_small_helpers(spark):
+    assert [fx.seconds(x) for x in ("90s", "30m", "1h", "7", "")] == [90, 1800, 3600, 7, 0]
+    assert fx.thresholds("a=1.5, b=2") == {"a": 1.5, "b": 2.0}
+    rows = spark.createDataFrame([(9.0, 10.0), (0.5, 10.0), (5.0, 0.0)], "s double, m double").select(fx.decile(F.col("s"), F.col("m")).alias("d"), fx.project_key(F.lit("/a")).alias("k")).collect()
+    assert [r.d for r in rows] == ["critical", "optimal", "optimal"] and len(rows[0].k) == 64

@@ -182,3 +182,53 @@ def test_bottlenecks_keep_light_edges(spark, sf):
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     want = {r.node: r.betweenness for r in graph.betweenness(edges, nodes).where("betweenness >= 0.001").collect()}
     assert edges.where("weight < 3").count() and {r.node: r.betweenness for r in graphs.bottlenecks(spark, sf).collect()} == pytest.approx(want, abs=1e-5)
+
+
+def test_limits_orders_and_signals(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "node string, score double")
+    order = [F.desc("score")]
+    assert [r.node for r in retrieval.limited(rows, 2, order).collect()] == ["a", "b"] and retrieval.limited(rows, 0, order).count() == retrieval.limited(rows, None, order).count() == 3
+    assert [r.node for r in retrieval.limited(rows, 2, order, reverse=True).collect()] == ["b", "a"]
+    signals = [retrieval.Signal("one", lambda e, q: e.select("node", F.lit(1.0).alias("score")), {"map": 1.0}), retrieval.Signal("two", lambda e, q: e.select("node", F.lit(2.0).alias("score")), {"query_bm25": 1.0})]
+    assert {r.signal for r in retrieval.run_signals(signals, rows, [], "map").collect()} == {"one"} and retrieval.run_signals(signals, rows, [], "none").count() == 0
+
+
+def test_similar_vectors_lose_nothing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = np.repeat(rng.standard_normal((40, 16)), 6, axis=0) + 0.5 * rng.standard_normal((240, 16))
+    points[200:220] = points[0]
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(unit)] + [(900, None), (901, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").withColumn("cell", F.lit("x"))
+    kept = [i for i in range(240) if not 200 <= i < 220]
+    for least, pivots in ((0.9, 16), (0.2, 5)):
+        got = {(r.a, r.b): (r.similarity, r.copies_a) for r in clones.similar_vectors(df, "id", "v", least, pivots).collect()}
+        want = {(a, b) for x, a in enumerate(kept) for b in kept[x + 1 :] if unit[a] @ unit[b] >= least}
+        assert set(got) == want and all(c == (21 if a == 0 else 1) for (a, _), (_, c) in got.items())
+    assert clones.similar_vectors(df.limit(0), "id", "v", 0.9).count() == 0
+
+
+def test_semantic_search_in_blocks_equals_broadcast(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    random.seed(3)
+    rows = [(i, [random.gauss(0, 1) for _ in range(4)]) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    asked = df.where("id % 4 = 0").select(F.col("id").alias("query"), F.col("v").alias("vector"))
+    once, blocks = (sorted((r.query, r.id, round(r.cosine, 9)) for r in retrieval.semantic(df, "id", "v", asked, 0.1, most).collect()) for most in (1000, 0))
+    assert once == blocks and once
+
+
+def test_best_pairs_come_from_the_first(spark):
+    rows = spark.createDataFrame([(i, i + 1, 1 - i / 100) for i in range(30)], "a long, b long, similarity double")
+    assert [r.a for r in clones.best_pairs(rows, 2, F.col("a") % 5 == 4).orderBy("a").collect()] == [4, 9]
+    assert clones.best_pairs(rows, 0).count() == 30
+
+
+def test_bottleneck_summary(spark):
+    rows = spark.createDataFrame([("a", 0.5), ("b", 0.0)], "node string, betweenness double")
+    assert graph.bottleneck_summary(rows).first().asDict() == {"analysed": 2, "above": 1, "average": 0.25, "most": 0.5}
+    assert graph.bottleneck_summary(rows.limit(0)).first().most == 0.0

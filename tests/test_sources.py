@@ -93,6 +93,19 @@ def test_scan(spark, tmp_path):
     assert {r.file for r in tree.scan(spark, f"file:{tmp_path}", ["!a.py", "*.py"], content=False).collect()} == {"src/b.js"}
 
 
+def test_text_files_and_stale_ones(spark, tmp_path):
+    for name, text in {"a.env": "K=1", "sub/b.json": "{}", ".hid/c.env": "x", "venv/d.env": "x", "e.py": "x = 1", "big.env": "x" * ((1 << 20) + 1)}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {(r.file, r.content) for r in tree.text_files(spark, f"file:{tmp_path}", ["*.env", "*.json"]).collect()} == {("a.env", "K=1"), ("sub/b.json", "{}")}
+    known = tree.scan(spark, f"file:{tmp_path}", content=False).select("file", "size", "modified")
+    known = spark.createDataFrame(known.collect(), known.schema)
+    assert tree.stale(spark, f"file:{tmp_path}", known).count() == 0
+    (tmp_path / "e.py").write_text("x = 12")
+    (tmp_path / "f.py").write_text("y")
+    assert {(r.file, r.change) for r in tree.stale(spark, f"file:{tmp_path}", known).collect()} == {("e.py", "modified"), ("f.py", "added")}
+
+
 def test_python_facts():
     text = 'import os\nclass A:\n    """doc"""\n    @property\n    def f(self, host, port: Port):\n        # say hello\n        if host and port:\n            return self.g("a value", 42)\n'
     found = tree.python_facts("a.py", text)
