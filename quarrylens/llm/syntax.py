@@ -87,6 +87,9 @@ DIRECTIVE = re.compile(r"#[ \t]*([A-Za-z_]\w*)?((?:[^\n\\]|\\\r?\n|\\.)*)")
 #: Directives of the C preprocessor.
 DIRECTIVES = set("include include_next define undef if ifdef ifndef elif elifdef elifndef else endif line error warning pragma embed ident import".split())
 
+#: Numbers with commas behind them: after a comma a run of them leaves the automaton where the first pair does.
+RUN = re.compile(r"(?:(?:0[xX][0-9a-fA-F]++|[1-9]\d*+(?:\.\d++)?|0(?:\.\d++)?)[ \t]*+,[ \t\r\n]*+){3,}+")
+
 Token = tuple[str, str, int, bool]  # class, text, line, first on its line
 
 
@@ -214,6 +217,15 @@ def brace_tokens(lang: str, text: str) -> Iterator[Token]:
                         templates.append(0)
                     pos, first, prev = end, False, "${" if more else "str"
                     continue
+            if kind == "num" and prev == ",":
+                run = RUN.match(text, m.start("num"))
+                if run:
+                    yield ("num", value, line, first)
+                    line += text.count("\n", pos, run.end())
+                    yield ("op", ",", line, False)
+                    pos = run.end()
+                    first = "\n" in text[text.rindex(",", 0, pos) : pos]
+                    continue
             yield (kind, value, line, first)
             prev = "operand" if kind in ("id", "num") or kind == "kw" and value in VALUE_WORDS else value
             first = False
@@ -507,6 +519,14 @@ def python_lines(text: str) -> Iterator[tuple[str, list[Token]]]:
             line += text.count("\n", pos, c.end())
             pos = c.end()
         elif kind != "com":
+            if kind == "num" and stack and tokens[-1][1] == ",":
+                run = RUN.match(text, m.start("num"))
+                if run:
+                    tokens += [("num", value, line, False), ("op", ",", line, False)]
+                    line += text.count("\n", pos, run.end())
+                    pos = run.end()
+                    fresh = text[pos - 1] == "\n"
+                    continue
             if kind == "op" and value in "([{":
                 stack.append((value, line))
             elif kind == "op" and value in ")]}":
