@@ -1167,9 +1167,9 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", file_col: str = "fi
 def invalid_rates(files: DataFrame, by: list[str], id_col: str = "file_id", file_col: str = "file", text_col: str = "content") -> DataFrame:
     """Per value of ``by`` and language: files checked, files that do not parse and their rate.
 
-    A null repository is read from the path, which begins with it; other nulls are one group, the empty string.
+    A null repository is read from the path, which begins with it; other nulls, and bare names, are one group, the empty string.
     """
-    known = {"repo": F.coalesce("repo", F.split_part(file_col, F.lit("/"), F.lit(1)))} if "repo" in files.columns else {}
+    known = {"repo": F.coalesce("repo", F.nullif(F.regexp_extract(file_col, r"^([^/\\]+)[/\\]", 1), F.lit("")))} if "repo" in files.columns else {}
     keys = [F.coalesce(known.get(x, F.col(x)), F.lit("")).alias(f"key_{i}") for i, x in enumerate(by)]
     groups = files.select(F.col(id_col).alias("id"), *keys).dropDuplicates(["id"])
     faults = syntax_faults(files, id_col, file_col, text_col).groupBy("id", "lang").agg(F.max(F.col("fault").isNotNull()).alias("broken"))
