@@ -18,9 +18,15 @@ def test_same_rows(spark, sf, db, name):
     assert rows(ours) == rows(theirs)
 
 
+#: Queries that may find nothing in the smallest tables.
+SPARSE = {"tramp_groups", "code_clones", "code_hotspots"}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_queries_without_sql_run(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).columns
+    """They have value tests of their own; here every row and column is computed on real tables."""
+    found = catalogue.QUERIES[name](spark, sf).toPandas()
+    assert len(found.columns) and (len(found) or name in SPARSE)
 
 
 def test_sql_only_for_known_queries():
