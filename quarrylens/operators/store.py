@@ -12,8 +12,8 @@ from quarrylens.functions.text import words
 from quarrylens.operators.retrieval import B, K1
 from quarrylens.session import cut, shared_folder
 
-#: Folders of terms; a search reads those of its terms only.
-BUCKETS = 256
+#: Folders of terms; a search reads those of its terms only. An index of another layout isn't read.
+BUCKETS, LAYOUT = 256, "2"
 
 
 def bucket(term: str) -> int:
@@ -48,7 +48,7 @@ def text_index(docs: DataFrame, id_col: str, text_col: str) -> str:
     Each posting carries its document's length and its term's frequency, so that a search needs no other table.
     """
     spark = docs.sparkSession
-    key = signature(docs, id_col, text_col)
+    key = signature(docs, id_col, text_col, LAYOUT, str(BUCKETS))
     folder = f"{shared_folder(spark)}/index-{key}"
     if manifest(spark, folder):
         return folder

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Names of this run's states in the shared folder.
 _RUN, _STATES = f"quarrylens-{uuid.uuid4().hex}", itertools.count()
+_FOLDERS: set[str] = set()
 _LOCAL: str | None = None
 
 #: Settings a local run starts with; a cluster brings its own.
@@ -54,13 +55,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL
 
 
+def _remove(folder: str) -> None:
+    """A run's states go with it where the driver sees the folder as a path; elsewhere ``quarrylens-*`` may be deleted at any time later."""
+    path = Path(folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:"))
+    if path.is_dir():
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write ``frame`` as a table in the shared folder and read it back, so that lost executors don't restart a loop.
 
     The result's plan starts anew: neither lineage nor the constraints inferred so far grow from step to step.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{_RUN}/{next(_STATES)}"
+    folder = f"{shared_folder(spark)}/{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, folder)
+    path = f"{folder}/{next(_STATES)}"
     frame.write.parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._quarrylens_state = path
