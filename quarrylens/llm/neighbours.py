@@ -373,7 +373,7 @@ def similar_points(members: DataFrame, k: int, dims: int, sure: float = SURE, pr
     seen = [cut(own.groupBy("block").applyInArrow(scan, schema))]
     split = {leaf: blocks for leaf, blocks in of_leaf.items() if len(blocks) > 1}
     step, sent = 1, 0
-    while True:
+    while split or step < len(of_leaf):  # 1, 2, 4, ... leaves beside the own one: then every leaf has had its turn
         every = seen[0]
         for part in seen[1:]:
             every = every.unionByName(part)
