@@ -55,11 +55,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL
 
 
-def _remove(folder: str) -> None:
-    """A run's states go with it where the driver sees the folder as a path; elsewhere ``quarrylens-*`` may be deleted at any time later."""
+def _remove(folder: str) -> bool:
+    """Delete a folder if the driver sees it as a path, as it does a mounted one; elsewhere ``quarrylens-*`` may be deleted after the run."""
     path = Path(folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:"))
     if path.is_dir():
         shutil.rmtree(path, ignore_errors=True)
+        return True
+    return False
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def release(*frames: DataFrame | None) -> None:
     """Free the space of states that a loop has superseded; nothing may read them any more."""
     for frame in frames:
         path = getattr(frame, "_quarrylens_state", None)
-        if path:
+        if path and not _remove(path):
             frame.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(path)
 
 
