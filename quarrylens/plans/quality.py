@@ -291,7 +291,7 @@ def numstat_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _commit_line() -> Column:
-    return F.concat_ws("|", "commit_hash", "author", F.concat(F.replace(F.lower("author"), F.lit(" "), F.lit(".")), F.lit("@host.invalid")), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.concat(F.lit("touch | "), "file"))
+    return F.concat_ws("|", "commit_hash", "author", F.concat(F.replace(F.lower("author"), F.lit(" "), F.lit(".")), F.lit("@host.invalid")), F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint").cast("string"), F.concat(F.lit("touch | "), "file"))
 
 
 def one_line_log(spark: SparkSession, sf: str) -> DataFrame:

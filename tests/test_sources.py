@@ -1,7 +1,9 @@
+import datetime
 import json
 
 from pyspark.sql import functions as F
 
+from quarrylens.plans import quality
 from quarrylens.sinks import formats
 from quarrylens.sources import logs, tree
 from quarrylens.streaming import changes
@@ -27,6 +29,17 @@ def test_log_and_blame(spark):
     assert (hunk.start, hunk.lines) == (3, 4)
 
 
+def test_parts_of_a_second_are_rounded_as_in_sql(spark, tmp_path):
+    from oracle import connect
+
+    rows = [(f"{i:040x}", "r", f"f{i}.py", 1, 0, "Ann", datetime.datetime(2024, 1, 1, 0, 0, i, part)) for i, part in enumerate((0, 400_000, 500_000, 500_000, 999_999))]
+    spark.createDataFrame(rows, "commit_hash string, repo string, file string, added long, removed long, author string, ts timestamp").write.parquet(str(tmp_path / "commit_files.parquet"))
+    db = connect(tmp_path / "none")
+    db.execute(f"create view commit_files as select * from '{tmp_path}/commit_files.parquet/*.parquet'")
+    ours = sorted(map(tuple, quality.one_line_log(spark, str(tmp_path)).collect()))
+    assert ours == sorted(db.execute(quality.SQL["one_line_log"]).fetchall()) and [x[3] % 60 for x in ours] == [0, 1, 2, 4, 5]
+
+
 def test_stack_frames(spark):
     text = 'File "src/app.py", line 42, in main | File "src/app.py", line 42, in main\n at x(App.java:15)\n/lib/u.rb:25:in `p\'\nmain.go:7'
     found = logs.stack_frames(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("pos").collect()
