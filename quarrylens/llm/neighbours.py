@@ -29,6 +29,8 @@ PROJECTED, SURE = 64, 0.995
 BLOCK_MOST, BLOCK_LEAST, SAMPLE = 32768, 1024, 4096
 #: Rows of a tile inside a block, share of near points from which a tile is verified as a whole, pairs verified at once.
 TILE, DENSE, AT_ONCE = 256, 0.02, 8192
+#: Distances held at once, 8 MB of them: a block's size doesn't show in a task's memory.
+DISTANCES = 1 << 21
 #: Steps of a sketch to the unit: projections of unit vectors are standard normal, so 127 steps reach beyond 5 deviations.
 STEPS = 24.0
 #: The first radius is that much larger than the projected distance of the k-th neighbour asks for.
@@ -52,10 +54,19 @@ def pack(units: np.ndarray) -> list[bytes]:
     return [a.tobytes() + b.tobytes() for a, b in zip(scale, whole)]
 
 
+def _bytes_of(column: pa.Array, width: int) -> bytes | memoryview:
+    """The bytes of a binary column whose values all have ``width`` bytes, not copied."""
+    if not len(column):
+        return b""
+    wide = pa.types.is_large_binary(column.type)
+    first = int(np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset])
+    return memoryview(column.buffers()[2])[first : first + len(column) * width]
+
+
 def unpack(packed: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scales, integers) of a binary column."""
-    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 4 + 2 * dims)
-    return raw[:, :4].copy().view(np.float32)[:, 0], raw[:, 4:].copy().view(np.int16)
+    """(scales, integers) of a binary column, as views of its buffer."""
+    rows = np.frombuffer(_bytes_of(packed, 4 + 2 * dims), np.dtype([("scale", "<f4"), ("whole", "<i2", (dims,))]))
+    return rows["scale"], rows["whole"]
 
 
 def floats(scales: np.ndarray, whole: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
@@ -118,7 +129,7 @@ def sketches(scales: np.ndarray, whole: np.ndarray, matrix: np.ndarray) -> np.nd
 
 
 def sketch_matrix(column: pa.Array, projected: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, projected).astype(np.float32)
+    return np.frombuffer(_bytes_of(column, projected), np.int8).reshape(-1, projected).astype(np.float32)
 
 
 def below(x: np.ndarray) -> np.ndarray:
@@ -189,16 +200,22 @@ def projected_in_block(table: pa.Table, projected: int, k: int, sure: float, box
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def distances(rows: np.ndarray, some: np.ndarray | slice) -> np.ndarray:
-        far = (spots[rows] ** 2).sum(axis=1)[:, None] + squares[some][None, :] - 2 * (spots[rows] @ points[some].T)
-        return np.maximum(far, 0)
+        far = (spots[rows] * -2) @ points[some].T
+        far += (spots[rows] ** 2).sum(axis=1)[:, None]
+        far += squares[some][None, :]
+        return np.maximum(far, 0, out=far)
 
     place = np.full(len(spots), -1)
     place[d] = np.arange(len(d))
-    for i in range(0, len(own), 1024):
-        rows = own[i : i + 1024]
+    few = max(1, min(1024, DISTANCES // max(1, len(d))))
+    for i in range(0, len(own), few):
+        rows = own[i : i + few]
         far = distances(rows, slice(None))
         far[np.arange(len(rows)), place[rows]] = np.inf
-        found.append((rows, smallest(far[:, :0], far, k), np.full(len(rows), len(d) - 1)))
+        if far.shape[1] > k:
+            far.partition(k - 1, axis=1)
+            far = far[:, :k].copy()
+        found.append((rows, far, np.full(len(rows), len(d) - 1)))
     if len(foreign) and len(d):
         tree = fit_tree(points, max(1, len(d) // TILE))
         member = leaf_of(tree, points)
@@ -217,8 +234,9 @@ def projected_in_block(table: pa.Table, projected: int, k: int, sure: float, box
                 wanted &= ~seen[part]
                 seen[part] |= wanted
                 for t, rows in enumerate(tiles):
-                    who = np.flatnonzero(wanted[:, t]) + i
-                    if len(who) and len(rows):
+                    asking, few = np.flatnonzero(wanted[:, t]) + i, max(1, DISTANCES // max(1, len(rows)))
+                    for x in range(0, len(asking) if len(rows) else 0, few):
+                        who = asking[x : x + few]
                         near[who] = smallest(near[who], distances(foreign[who], rows), k)
                         compared[who] += len(rows)
             worst = near.max(axis=1)
@@ -247,12 +265,15 @@ def nearest_in_block(table: pa.Table, dims: int, projected: int, k: int) -> pa.T
     d, q = np.flatnonzero(data), np.flatnonzero(radius >= 0)
     squares = (spots**2).sum(axis=1)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(q), 1024):
-        rows = q[a : a + 1024]
+    for a in range(0, len(q), 512):
+        rows = q[a : a + 512]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in range(0, len(d), 4096):
             other = d[b : b + 4096]
-            far = np.maximum(squares[rows][:, None] + squares[other][None, :] - 2 * (spots[rows] @ spots[other].T), 0)
+            far = (spots[rows] * -2) @ spots[other].T
+            far += squares[rows][:, None]
+            far += squares[other][None, :]
+            np.maximum(far, 0, out=far)
             hit = (far <= radius[rows][:, None]) & (far > low[rows][:, None]) & (rows[:, None] != other[None, :])
             i, j = np.nonzero(hit)
             if not len(i):

@@ -2,8 +2,10 @@
 
 import base64
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -469,3 +471,21 @@ def test_same_rows_as_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_queries_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).columns
+
+
+def test_memory_of_a_block_does_not_grow_with_its_square():
+    """6 000 points of one block: all their distances would be 144 MB."""
+    n, rng = 6000, np.random.default_rng(3)
+    spots = rng.integers(-60, 60, (n, 64)).astype(np.int8)
+    table = pa.table({
+        "key": pa.array([i.to_bytes(4, "big") for i in range(n)], pa.binary()), "block": pa.array(np.zeros(n, np.int32)), "leaf": pa.array(np.zeros(n, np.int32)), "data": pa.array(np.ones(n, bool)), "asks": pa.array(np.ones(n, bool)),
+        "sketch": pa.array([x.tobytes() for x in spots], pa.binary()), "spread": pa.array(np.full(n, np.nan)),
+    })
+    tracemalloc.start()
+    found = neighbours.projected_in_block(table, 64, 5, 0.995, [{}])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for i in (0, 2500, n - 1):
+        far = ((spots.astype(np.int64) - spots[i]) ** 2).sum(axis=1)
+        assert found.column("near")[i].as_py() == sorted(np.delete(far, i).tolist())[:5]
