@@ -106,3 +106,41 @@ def test_index_is_reused_and_equals_the_scan(spark, tmp_path):
         store.search(spark, str(tmp_path / "nothing"), ["a"])
     spark.createDataFrame([(6, "graph")], "doc_id long, text string").write.mode("append").parquet(path)
     assert store.text_index(spark.read.parquet(path), "doc_id", "text") != folder
+
+
+def linked_case(spark, duplicated):
+    """Many references to few names, with and without receivers; perhaps with a node under two qualified names."""
+    ents = [(f"f{i % 5}", f"f{i % 5}::{'abget'[i % 3:i % 3 + 1]}::{i}", i, i + 3, "abg"[i % 3], f"{'XY'[i % 2]}.{'abg'[i % 3]}", i % 7 == 0, i % 5 == 1) for i in range(40)]
+    if duplicated:
+        ents += [(ents[3][0], *ents[3][1:5], "Z.a", *ents[3][6:]), ents[4]]
+    refs = [(f"f{i % 5}", 5 + i % 35, "abgq"[i % 4], ("call", "usage", "type")[i % 3], (None, "X", "Z", "W")[i // 3 % 4]) for i in range(300)]
+    entities = spark.createDataFrame(ents, "file string, node string, first int, last int, name string, qualified string, utility boolean, test boolean")
+    return spark.createDataFrame(refs, "file string, line int, target string, kind string, receiver string"), entities, refs, ents
+
+
+@pytest.mark.parametrize("duplicated", [False, True])
+def test_links_are_the_edges_without_their_pairs(spark, monkeypatch, duplicated):
+    monkeypatch.setattr(graph, "SIDE", 3)  # blocks of a name meet in many tasks
+    references, entities, refs, ents = linked_case(spark, duplicated)
+    edges = {}
+    for file, line, target, kind, receiver in refs:
+        around = [e for e in ents if e[0] == file and e[2] <= line <= e[3]]
+        if not around:
+            continue
+        src = min(around, key=lambda e: (e[3] - e[2], e[2], e[1]))[1]
+        goals = [e for e in ents if receiver and e[5] == f"{receiver}.{target}"] or [e for e in ents if e[4] == target]
+        for e in goals:
+            if e[1] != src:
+                w, k = edges.get((src, e[1]), (0.0, set()))
+                edges[src, e[1]] = w + graph.EDGE_WEIGHTS[kind] / len(goals) ** 0.5 * (0.1 if e[6] else 1) * (0.3 if e[7] else 1), k | {kind}
+    found = graph.links(references, entities)
+    ours = graph.linked_edges(found)
+    assert {(r.src, r.dst): (pytest.approx(r.weight), set(r.kinds)) for r in ours.collect()} == edges
+    assert sum(r.weight for r in graph.resolve(references, entities).collect()) == pytest.approx(sum(w for w, _ in edges.values()))
+    plain = ours.localCheckpoint()
+    assert {tuple(r) for r in graph.degrees(found).collect()} == {tuple(r) for r in graph.degrees(plain).collect()}
+    assert {r.node for r in graph.nodes_of(found).collect()} == {r.node for r in graph.nodes_of(plain).collect()}
+    seeds = spark.createDataFrame([(ents[0][1], 1.0), (ents[8][1], 2.0)], "node string, weight double")
+    ranks = {r.node: r.rank for r in graph.pagerank(plain, teleport=seeds, steps=4, tolerance=None).collect()}
+    assert {r.node: pytest.approx(r.rank) for r in graph.pagerank(found, teleport=seeds, steps=4, tolerance=None).collect()} == ranks
+    assert found.sources.count() <= len(refs) and found.targets.count() <= 2 * len(ents) + 2
