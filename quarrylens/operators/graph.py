@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -400,12 +401,16 @@ def strong_components(edges: DataFrame, alone: int = ALONE) -> DataFrame:
 
 @dataclass(frozen=True)
 class Condensed:
-    """A graph by its strong components: ``members(node, component)``, ``sizes(component, size, cyclic)``, and ``reach(src,
-    dst)`` between different components."""
+    """A graph by its strong components: ``members(node, component)``, ``sizes(component, size, cyclic)``, ``links(src, dst)``
+    between different components, and ``reach(src, dst)``, what follows from them; its pairs may be as many as the square."""
 
     members: DataFrame
     sizes: DataFrame
-    reach: DataFrame
+    links: DataFrame
+
+    @cached_property
+    def reach(self) -> DataFrame:
+        return closure(self.links).select("src", "dst")
 
 
 def condense(edges: DataFrame, nodes: DataFrame) -> Condensed:
@@ -420,7 +425,94 @@ def condense(edges: DataFrame, nodes: DataFrame) -> Condensed:
     sizes = cut(sizes.select("component", "size", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic")))
     a, b = members.toDF("src", "ca"), members.toDF("dst", "cb")
     links = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("ca <> cb").select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct()
-    return Condensed(members, sizes, closure(links).select("src", "dst"))
+    return Condensed(members, sizes, cut(links))
+
+
+#: Targets whose ways in are sought at once, and links of a graph that a task holds; larger graphs go on by their pairs.
+BLOCK, HELD = 4096, 4_000_000
+
+
+def packed_graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row ``(names, first, flat)`` of all links of one partition: what node ``i`` leads to is ``flat[first[i]:first[i + 1]]``, all before it."""
+    table = pa.Table.from_batches(list(batches))
+    number: dict[str, int] = {}
+    ends = [[number.setdefault(x, len(number)) for x in table.column(c).to_pylist()] for c in ("src", "dst")] if table.num_rows else [[], []]
+    back: list[list[int]] = [[] for _ in number]
+    ahead: list[list[int]] = [[] for _ in number]
+    for a, b in zip(*ends):
+        back[b].append(a)
+        ahead[a].append(b)
+    left = [len(x) for x in ahead]
+    order = [i for i, n in enumerate(left) if not n]
+    for node in order:  # grows while it is read
+        for a in back[node]:
+            left[a] -= 1
+            if not left[a]:
+                order.append(a)
+    if len(order) != len(number):
+        raise ValueError("links between components hold a cycle")
+    at = [0] * len(order)
+    for i, node in enumerate(order):
+        at[node] = i
+    names = list(number)
+    first, flat = [0], []
+    for node in order:
+        flat += [at[x] for x in ahead[node]]
+        first.append(len(flat))
+    yield pa.RecordBatch.from_pydict({"names": pa.array([[names[i] for i in order]], pa.list_(pa.string())), "first": pa.array([np.array(first, np.int32).tobytes()]), "flat": pa.array([np.array(flat, np.int32).tobytes()])})
+
+
+def reach_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(group, pairs)`` of rows ``(first, flat, targets, sources)``: the targets' weights times those of the sources that reach
+    them, by bits: a node's are its own and those of what it leads to."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            first, flat = (np.frombuffer(row[c], np.int32).tolist() for c in ("first", "flat"))
+            own: dict[int, int] = {}
+            masks: dict[str, dict[int, int]] = {}  # by group and weight
+            for i, (at, group, c) in enumerate((x["at"], x["group"], x["c"]) for x in row["targets"]):
+                own[at] = own.get(at, 0) | 1 << i
+                of = masks.setdefault(group, {})
+                of[c] = of.get(c, 0) | 1 << i
+            bits: dict[int, int] = {}
+            for node in range(min(own, default=0), len(first) - 1):
+                seen = 0
+                for x in flat[first[node] : first[node + 1]]:
+                    seen |= bits.get(x, 0) | own.get(x, 0)
+                if seen:
+                    bits[node] = seen
+            sums = dict.fromkeys(masks, 0)
+            for x in row["sources"]:
+                seen = bits.get(x["at"])
+                if seen:
+                    sums[x["group"]] += x["c"] * sum(w * (seen & mask).bit_count() for w, mask in masks[x["group"]].items())
+            yield pa.RecordBatch.from_pydict({"group": pa.array(list(sums), pa.string()), "pairs": pa.array(list(sums.values()), pa.int64())})
+
+
+def reach_sums(links: DataFrame, held: DataFrame) -> DataFrame:
+    """``(group, pairs)``: over all pairs of different components of which one reaches the other, what both hold of a group,
+    multiplied; ``held(component, group, c)``.
+
+    The pairs themselves are never formed: ``BLOCK`` targets of a group at a time are bits that pass along the links.
+    """
+    if links.limit(HELD + 1).count() > HELD:
+        a, b = held.toDF("src", "group", "ca"), held.toDF("dst", "group", "cb")
+        return closure(links).join(a, "src").join(b, ["dst", "group"]).groupBy("group").agg(F.sum(F.col("ca") * F.col("cb")).alias("pairs"))
+    packed = cut(links.select("src", "dst").repartition(1).mapInArrow(packed_graph, "names array<string>, first binary, flat binary"))
+    places = packed.select(F.posexplode("names").alias("at", "component"))
+    rows = cut(held.join(places, "component").select("group", F.struct("at", "group", F.col("c").cast("bigint").alias("c")).alias("row")))
+    order = Window.partitionBy("group").orderBy("row.at")
+    nodes, total = places.count(), rows.count()
+    size = max(1, min(BLOCK, 1_000_000_000 // max(1, nodes)))  # some 125 MB of bits in a task
+    targets = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / size)).groupBy("group", "block").agg(F.collect_list("row").alias("targets"))
+    # a group of few rows shares its block with others
+    targets = targets.withColumn("part", F.when(F.size("targets") < size // 2, F.pmod(F.xxhash64("group"), F.lit(max(1, total // size))).cast("string")).otherwise(F.concat_ws("/", F.lit("alone"), "group", F.col("block").cast("string"))))
+    sources = targets.select("part", "group").distinct().join(rows, "group").groupBy("part").agg(F.collect_list("row").alias("sources"))
+    targets = targets.groupBy("part").agg(F.flatten(F.collect_list("targets")).alias("targets"))
+    tasks = cut(targets.join(sources, "part"))
+    wide = tasks.repartition(max(1, min(tasks.count(), 4 * links.sparkSession.sparkContext.defaultParallelism)))
+    found = wide.crossJoin(F.broadcast(packed.select("first", "flat"))).select("first", "flat", "targets", "sources")
+    return found.mapInArrow(reach_in_blocks, "group string, pairs bigint").groupBy("group").agg(F.sum("pairs").alias("pairs"))
 
 
 def propagation(edges: DataFrame, nodes: DataFrame, graph: Condensed | None) -> DataFrame:
@@ -434,8 +526,8 @@ def propagation(edges: DataFrame, nodes: DataFrame, graph: Condensed | None) ->
         out = n.join(F.broadcast(m)).withColumn("reachable", F.col("edges"))
     else:
         inside = graph.sizes.where("cyclic").agg(F.coalesce(F.sum(F.col("size") * F.col("size")), F.lit(0)).alias("inside"))
-        a, b = graph.sizes.select(F.col("component").alias("src"), F.col("size").alias("m")), graph.sizes.select(F.col("component").alias("dst"), F.col("size").alias("k"))
-        across = graph.reach.join(a, "src").join(b, "dst").agg(F.coalesce(F.sum(F.col("m") * F.col("k")), F.lit(0)).alias("across"))
+        across = reach_sums(graph.links, graph.sizes.select("component", F.lit("").alias("group"), F.col("size").alias("c")))
+        across = across.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("across"))
         out = n.join(F.broadcast(m)).join(F.broadcast(inside)).join(F.broadcast(across)).select("nodes", "edges", (F.col("inside") + F.col("across")).alias("reachable"))
     cost = F.when(F.col("nodes") > 1, F.col("reachable") / (F.col("nodes") * (F.col("nodes") - 1)).cast("double"))
     status = F.when(F.col("cost").isNull(), "N/A").when(F.lit(graph is None), "APPROXIMATE").when(F.col("cost") <= 0.10, "PASS").when(F.col("cost") <= 0.43, "WARNING").otherwise("CRITICAL")
@@ -455,8 +547,7 @@ def module_coupling(edges: DataFrame, modules: DataFrame, graph: Condensed) -> D
     size = modules.groupBy("module").agg(F.count(F.lit(1)).alias("nodes"))
     held = graph.members.join(modules, "node").groupBy("component", "module").agg(F.count(F.lit(1)).alias("c"))
     inside = held.join(graph.sizes.where("cyclic"), "component").select("module", (F.col("c") * F.col("c")).alias("pairs"))
-    a, b = held.toDF("src", "module", "ca"), held.toDF("dst", "module", "cb")
-    across = graph.reach.join(a, "src").join(b, ["dst", "module"]).select("module", (F.col("ca") * F.col("cb")).alias("pairs"))
+    across = reach_sums(graph.links, held.toDF("component", "group", "c")).select(F.col("group").alias("module"), "pairs")
     inside = inside.unionByName(across).groupBy("module").agg(F.sum("pairs").alias("pairs"))
     x, y = modules.toDF("src", "ma"), modules.toDF("dst", "mb")
     cross = edges.select("src", "dst").distinct().join(x, "src").join(y, "dst").where("ma <> mb")

@@ -232,3 +232,21 @@ def test_bottleneck_summary(spark):
     rows = spark.createDataFrame([("a", 0.5), ("b", 0.0)], "node string, betweenness double")
     assert graph.bottleneck_summary(rows).first().asDict() == {"analysed": 2, "above": 1, "average": 0.25, "most": 0.5}
     assert graph.bottleneck_summary(rows.limit(0)).first().most == 0.0
+
+
+def test_reach_sums_form_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "closure", None)  # before, all pairs were formed
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    pairs = [(f"n{i}", f"n{(i * 7 + j) % 40}") for i in range(40) for j in (1, 2) if (i * 7 + j) % 40 > i or i % 13 == 0]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    nodes = edges.selectExpr("explode(array(src, dst)) as node").distinct()
+    reach = {a: {b for x, b in pairs if x == a} for a in {x for p in pairs for x in p}}
+    for _ in range(40):
+        reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+    whole = graph.condense(edges, nodes)
+    row = graph.propagation(edges, nodes, whole).first()
+    assert row.reachable == sum(map(len, reach.values())) > len(pairs)
+    modules = nodes.selectExpr("node", "concat('m', cast(substring(node, 2) as int) % 3) as module")
+    for r in graph.module_coupling(edges, modules, whole).collect():
+        of = {x for x in reach if int(x[1:]) % 3 == int(r.module[1:])}
+        assert r.internal == sum(len(reach[a] & of) for a in of) / (len(of) * (len(of) - 1))
