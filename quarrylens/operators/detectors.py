@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +51,63 @@ def parameter_pairs(params: DataFrame, least: int = 3) -> DataFrame:
     return left.join(right, "node").where("p < q").groupBy("p", "q").agg(F.count(F.lit(1)).alias("functions")).where(F.col("functions") >= least)
 
 
+#: Different sets of parameters that one task searches alone, some 100 MB.
+ALONE = 200_000
+
+
+def groups_alone(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``(members, functions)``: the groups of ``parameter_groups`` from all ``(set, c)`` of one partition."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    sets, counts = [set(x) for x in table.column("set").to_pylist()], table.column("c").to_pylist()
+    holders: dict[str, set[int]] = {}
+    pairs: Counter[tuple[str, str]] = Counter()
+    for i, (some, c) in enumerate(zip(sets, counts)):
+        for x in some:
+            holders.setdefault(x, set()).add(i)
+        for pair in combinations(sorted(some), 2):
+            pairs[pair] += c
+    groups: dict[tuple[str, ...], int] = {}
+    done: set[tuple[str, str]] = set()
+    for (p, q), functions in sorted(((k, n) for k, n in pairs.items() if n >= least), key=lambda x: (-x[1], x[0])):
+        if (p, q) in done:
+            continue
+        group, count, after, held = [p, q], functions, "", holders[p] & holders[q]
+        while True:
+            fits: Counter[str] = Counter()
+            for i in held:
+                for x in sets[i]:
+                    fits[x] += counts[i]
+            some = [x for x, c in fits.items() if c >= least and x not in group]
+            if not some:
+                break
+            found = min(some, key=lambda x: (x <= after, x))
+            group.append(found)
+            count, after, held = fits[found], found, held & holders[found]
+        if functions > count:
+            groups.setdefault((p, q), functions)
+        groups.setdefault(tuple(sorted(group)), count)
+        done.update(combinations(sorted(group), 2))
+    yield pa.RecordBatch.from_pydict({"members": pa.array([list(k) for k in groups], pa.list_(pa.string())), "functions": pa.array(list(groups.values()), pa.int64())})
+
+
 def parameter_groups(params: DataFrame, least: int = 3) -> list[tuple[list[str], int]]:
     """Groups of parameters that travel together with their number of functions, best first by size * count.
 
     The most frequent pair (ties by name) grows by every parameter, in order of name, with which the group still has
     ``least`` functions; pairs inside a group are then done. Functions with equal parameters are one row with a count, and
-    pairs stay in Spark: the driver holds only the groups found. Each group costs a few jobs, so ``least`` should be high
-    where groups are many.
+    pairs stay in Spark: the driver holds only the groups found. Up to ``ALONE`` different sets of parameters are searched by
+    one task; above that each group costs a few jobs, with the same result.
     """
     base = params.select("node", "param").distinct()
     pairs = cut(parameter_pairs(base, least))
     names = pairs.select(F.explode(F.array("p", "q")).alias("param")).distinct()
     sets = base.join(names, "param").groupBy("node").agg(F.sort_array(F.collect_set("param")).alias("set"))
     sets = cut(sets.where(F.size("set") >= 2).groupBy("set").agg(F.count(F.lit(1)).alias("c")))
+    if sets.limit(ALONE + 1).count() <= ALONE:
+        rows = sets.repartition(1).mapInArrow(lambda batches: groups_alone(batches, least), "members array<string>, functions bigint").collect()
+        return sorted(((list(r.members), r.functions) for r in rows), key=lambda x: (-len(x[0]) * x[1], -len(x[0]), x[0]))
 
     def both_in(group: list[str]) -> Column:
         return F.col("p").isin(group) & F.col("q").isin(group)

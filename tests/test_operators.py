@@ -2,6 +2,7 @@ from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quarrylens.operators import audit, clones, detectors, graph, history, retrieval
 
@@ -250,3 +251,14 @@ def test_reach_sums_form_no_pairs(spark, monkeypatch):
     for r in graph.module_coupling(edges, modules, whole).collect():
         of = {x for x in reach if int(x[1:]) % 3 == int(r.module[1:])}
         assert r.internal == sum(len(reach[a] & of) for a in of) / (len(of) * (len(of) - 1))
+
+
+def test_groups_of_one_task_are_those_of_the_rounds(spark, monkeypatch):
+    params = spark.createDataFrame([(f"f{i}", "abcdefgh"[j]) for i in range(40) for j in range(8) if (i * (j + 3) + i // 5) % 4 < 2], "node string, param string")
+    jobs = []
+    first = DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda self: jobs.append(1) or first(self))
+    alone = detectors.parameter_groups(params, 6)
+    assert alone and not jobs  # before, each group took jobs of its own
+    monkeypatch.setattr(detectors, "ALONE", 0)
+    assert detectors.parameter_groups(params, 6) == alone and jobs
