@@ -57,9 +57,10 @@ ALONE = 200_000
 
 def groups_alone(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """``(members, functions)``: the groups of ``parameter_groups`` from all ``(set, c)`` of one partition."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = list(batches)
+    if not sum(x.num_rows for x in held):
         return
+    table = pa.Table.from_batches(held)
     sets, counts = [set(x) for x in table.column("set").to_pylist()], table.column("c").to_pylist()
     holders: dict[str, set[int]] = {}
     pairs: Counter[tuple[str, str]] = Counter()
