@@ -103,7 +103,8 @@ def propagation_cost(spark: SparkSession, sf: str) -> DataFrame:
 def entity_propagation(spark: SparkSession, sf: str) -> DataFrame:
     """Propagation cost of the graph of entities, which has many components."""
     edges = cut(entity_edges(spark, sf))
-    return ops.propagation(edges, _nodes(edges), ops.condense(edges, _nodes(edges))).withColumn("cost", F.round("cost", 10))
+    nodes = cut(_nodes(edges))
+    return ops.propagation(edges, nodes, ops.condense(edges, nodes)).withColumn("cost", F.round("cost", 10))
 
 
 def propagation_bound(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,8 +126,8 @@ def critical_top(spark: SparkSession, sf: str) -> DataFrame:
 
 def _module_coupling(spark: SparkSession, sf: str) -> DataFrame:
     edges = cut(entity_edges(spark, sf))
-    modules = _nodes(edges).select("node", F.split_part("node", F.lit("/"), F.lit(1)).alias("module"))
-    return ops.module_coupling(edges, modules, ops.condense(edges, _nodes(edges)))
+    modules = cut(_nodes(edges).select("node", F.split_part("node", F.lit("/"), F.lit(1)).alias("module")))
+    return ops.module_coupling(edges, modules, ops.condense(edges, modules))
 
 
 def module_coupling(spark: SparkSession, sf: str) -> DataFrame:

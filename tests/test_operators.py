@@ -262,3 +262,29 @@ def test_groups_of_one_task_are_those_of_the_rounds(spark, monkeypatch):
     assert alone and not jobs  # before, each group took jobs of its own
     monkeypatch.setattr(detectors, "ALONE", 0)
     assert detectors.parameter_groups(params, 6) == alone and jobs
+
+
+def test_graphs_without_edges_have_no_components(spark):
+    assert not list(graph.packed_graph(iter([]))) and not list(graph.components_alone(iter([])))  # before, both raised
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    whole = graph.condense(edges(spark).limit(0), nodes)
+    assert graph.propagation(edges(spark).limit(0), nodes, whole).first().reachable == 0
+
+
+def test_pairs_across_a_hub_are_a_product(spark):
+    """Two parts: many ways into a component of two nodes and out of it, and a chain beside it."""
+    pairs = [(f"a{i}", "h1") for i in range(60)] + [("h1", "h2"), ("h2", "h1")] + [("h2", f"z{i}") for i in range(50)]
+    pairs += [("a0", "s"), ("s", "t"), ("t", "z0"), ("p", "q"), ("q", "q"), ("q", "r"), ("p", "r")]
+    reach = {a: {y for x, y in pairs if x == a} for a in {x for p in pairs for x in p}}
+    for _ in range(8):
+        reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+    e = edges(spark, *[(a, b, 1) for a, b in pairs])
+    nodes = spark.createDataFrame([(x,) for x in reach], "node string")
+    whole = graph.condense(e, nodes)
+    assert graph.propagation(e, nodes, whole).first().reachable == sum(map(len, reach.values()))
+    modules = nodes.withColumn("module", F.when(F.col("node").rlike("^[a-h]"), "x").otherwise("y"))
+    for r in graph.module_coupling(e, modules, whole).collect():
+        of = {x for x in reach if (x[0] <= "h") == (r.module == "x")}
+        assert (r.internal, r.external) == (sum(len(reach[a] & of) for a in of) / (len(of) * (len(of) - 1)), sum((a in of) != (b in of) for a, b in pairs))
+    packed = list(graph.packed_graph(iter(whole.links.toArrow().to_batches())))[-1]
+    assert len(packed.column("flat")[0].as_py()) // 4 == 3  # of 116 links; before, all were passed on for each block
